@@ -12,6 +12,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparklex.llm import tokenfiles
+
+    return tokenfiles.read(tokenfiles.write(table(spark, sf_dir, "documents"), tokenizer_path())).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparklex.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparklex.llm.sharding import shard
 
