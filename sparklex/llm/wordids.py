@@ -1,12 +1,15 @@
 """Ids of a public tokenizer that never joins words over white space, with the ids of words kept once made.
 
 Such a tokenizer's ids of a text are the ids of its words, one after the other, so each distinct word of a task is
-encoded by the library once (or again, when the bounded store of words was emptied).
+encoded by the library once (or again, when the bounded store of words was emptied). A word of letters and then
+punctuation has the ids of the two, as the tokenizer parts them too, and capitals have those of small letters.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 
@@ -14,6 +17,10 @@ import numpy as np
 KEPT_WORDS, KEPT_BYTES = 300_000, 24 << 20
 
 
+#: Letters, the last of ASCII or followed by nothing, then ASCII punctuation but the apostrophe (which can begin a contraction).
+PARTS = re.compile(rb"((?:[A-Za-z]|[\xc3-\xc9][\x80-\xbf])*[A-Za-z])([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -29,11 +36,21 @@ class WordIds:
         if len(self.known) > KEPT_WORDS or self.bytes > KEPT_BYTES:
             self.known.clear()
             self.bytes = 0
-        new = sorted(set().union(*words).difference(self.known))
+        new = set().union(*words).difference(self.known)
+        parts = {w: (m[1].lower(), m[2]) if (m := PARTS.fullmatch(w)) else (w, b"") for w in new}
+        self._add(sorted(set().union(*parts.values()).difference(self.known)))
+        for w, (head, tail) in parts.items():
+            self._keep(w, self.known[head] + self.known[tail])
+        end = np.array([end_id], "<u4").tobytes()
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)) + end, "<u4") for ws in words]
+
+    def _add(self, new: list[bytes]) -> None:
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = ids = np.array(e.ids, "<u4").tobytes()
-                self.bytes += len(w) + len(ids)
-        end = np.array([end_id], "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)) + end, "<u4") for ws in words]
+                self._keep(w, array("I", e.ids).tobytes())
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        if word not in self.known:
+            self.known[word] = ids
+            self.bytes += len(word) + len(ids)
