@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparklex.llm import warc
+
+    return warc.read_warc(warc.convert(warc.write_arc(table(spark, sf_dir, "pages")))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -24,6 +30,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(tokenfiles.write(table(spark, sf_dir, "documents"), tokenizer_path())).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparklex.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.judged(docs, quality.learned(docs, table(spark, sf_dir, "labels")), "q")
+    return found.select("doc_id", *[f"q.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")])
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparklex.llm.packing import pack
 
