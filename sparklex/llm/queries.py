@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparklex.llm.substrings import removed
+
+    return removed(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparklex.llm import warc
 
