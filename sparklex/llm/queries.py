@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparklex.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, similarity=0.85)
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparklex.llm.substrings import removed
 
