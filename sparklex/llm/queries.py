@@ -30,6 +30,26 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(warc.convert(warc.write_arc(table(spark, sf_dir, "pages")))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparklex.llm.lines import report
+
+    found = report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: A run of two or more lines with a word is the union of its windows of two.
+LINE_RUNS = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+w AS (SELECT doc_id, k, line, lead(line) OVER o AS line2, lead(k) OVER o AS k2 FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+f AS (SELECT doc_id, k, k2, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, k) AS n FROM w WHERE line2 IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(k, k2)) AS k FROM f WHERE n > 1),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.k) AS n_removed, string_agg(CASE WHEN g.k IS NULL THEN line END, chr(10) ORDER BY l.k) AS rest
+         FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.k = g.k GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -56,6 +76,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparklex.llm.scoring import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparklex.llm.sharding import shard
 
@@ -76,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_runs": LINE_RUNS}
