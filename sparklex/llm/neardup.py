@@ -5,8 +5,9 @@ are kept: twice as many unbiased values as hash evaluations, with less variance
 documents that share a band are candidates, and a candidate is linked only if the full sets are similar enough.
 
 Documents with equal sets are one class from the start. A band's bucket of n classes makes n - 1 candidates: each with the
-smallest one. Where that leaves a bucket in several components, small buckets compare what isn't connected yet, and larger
-ones are parted by a further band and treated again, so that no bucket makes all its pairs and no link depends on a cap.
+one whose buckets are largest. Where that leaves a bucket in several components, members that share too few shingles with
+all others to be linked to any are settled; small buckets then compare what isn't connected yet, and larger ones are parted by
+a further band and treated again, so that no bucket makes all its pairs and no link depends on a cap.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from sparklex.llm.scratch import dropped, written
 #: A similar pair shares no band with at most this probability.
 MISS = 1e-6
 #: Classes of a bucket that are compared with each other where they aren't connected yet.
-SMALL = 32
+SMALL = 1024
 #: Candidates of one class that are compared in one group.
 GROUP = 500
 
@@ -127,27 +128,31 @@ def classes(rows: DataFrame, k: int, similarity: float) -> tuple[DataFrame, Data
     key = ["n_shingles", "s1", "s2"]
     signed = written(signatures(rows, k, similarity), "signatures")
     sets = written(signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*key).agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "classes")
-    buckets = sets.select("id", F.explode("bands").alias("bucket")).withColumn("last", F.col("bucket"))
+    buckets = sets.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket")).withColumn("last", F.col("bucket"))
     links, done = None, None
-    own = sets.select("id", "bands")
     while True:
-        hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-        held = written(buckets.join(hubs, "bucket"), "buckets")
-        pairs = held.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-        pairs, done = _new(pairs, done)
+        held = written(_centred(buckets), "buckets")
+        near = (F.col("size") >= similarity * F.col("hub_size")) & (F.col("hub_size") >= similarity * F.col("size"))
+        pairs, done = _new(held.where((F.col("id") != F.col("hub")) & near).select(F.col("hub").alias("a"), F.col("id").alias("b")), done)
         links = _also(links, linked(pairs, rows, k, similarity))
         reached = components(links)
         open_ = _open(held, reached)
-        small = open_.where(F.col("n") <= SMALL)
-        pairs = small.alias("x").join(small.alias("y"), F.expr("x.bucket = y.bucket AND x.id < y.id AND x.component <> y.component")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        if open_.isEmpty():
+            break
+        open_ = _supported(open_, rows, k, similarity)
+        small = open_.where(F.col("members") <= SMALL)
+        x, y = small.alias("x"), small.alias("y")
+        share = similarity / (1 + similarity)
+        can = F.least("x.shared", "y.shared") >= share * (F.col("x.size") + F.col("y.size")) - 1e-6
+        pairs = x.join(y, F.expr("x.bucket = y.bucket AND x.id < y.id AND x.component <> y.component") & can).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         pairs, done = _new(pairs, done)
         if not pairs.isEmpty():
             links = _also(links, linked(pairs, rows, k, similarity))
             reached = components(links)
-        large = _open(held.where(F.col("n") > SMALL), reached)
-        further = large.select("id", "bucket", "last").join(own, "id").select("id", "bucket", "last", F.explode("bands").alias("band"))
+        large = open_.where(F.col("members") > SMALL).select("id", "size", "bucket", "last")
+        further = large.join(sets.select("id", "bands"), "id").select("id", "size", "bucket", "last", F.explode("bands").alias("band"))
         # a bucket's bands are in ascending order, so that each set of bands is made once and there is an end
-        buckets = written(further.where("band > last").select("id", F.xxhash64("bucket", "band").alias("bucket"), F.col("band").alias("last")), "buckets")
+        buckets = written(further.where("band > last").select("id", "size", F.xxhash64("bucket", "band").alias("bucket"), F.col("band").alias("last")), "buckets")
         dropped(held)
         if buckets.isEmpty():
             break
@@ -155,9 +160,19 @@ def classes(rows: DataFrame, k: int, similarity: float) -> tuple[DataFrame, Data
     return signed, found
 
 
+def _centred(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets of two or more, with n and the hub: that member whose buckets are largest in all, as the one most alike the others."""
+    counts = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    held = written(buckets.join(counts, "bucket"), "shared-buckets")
+    weight = held.groupBy("id").agg(F.sum("n").alias("weight"))
+    best = held.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), F.col("size").alias("hub_size"))).alias("best"))
+    return held.join(best.select("bucket", (-F.col("best.minus")).alias("hub"), "best.hub_size"), "bucket")
+
+
 def _new(pairs: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Those pairs that weren't compared before, and all that were, with them."""
-    pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "candidates")
+    """Those pairs that weren't compared before, each once, and all that were, with them."""
+    pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).groupBy("lo", "hi").agg(F.min("a").alias("a")).withColumn("b", F.col("lo") + F.col("hi") - F.col("a"))
+    pairs = written(pairs if done is None else pairs.join(done, ["lo", "hi"], "left_anti"), "candidates")
     return pairs, pairs if done is None else done.unionByName(pairs)
 
 
@@ -168,9 +183,34 @@ def _also(links: DataFrame | None, more: DataFrame) -> DataFrame:
 
 def _open(held: DataFrame, reached: DataFrame) -> DataFrame:
     """The rows of buckets of three or more that lie in more than one component."""
-    placed = held.where("n > 2").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
-    return written(placed.join(several, "bucket", "left_semi"), "open-buckets")
+    placed = held.where("n > 2").select("id", "size", "bucket", "last").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return written(_several(placed), "open-buckets")
+
+
+def _several(placed: DataFrame) -> DataFrame:
+    groups = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members"), F.min("size").alias("least")).where("c1 < c2")
+    return placed.drop("members", "least").join(groups.drop("c1", "c2"), "bucket")
+
+
+def _supported(open_: DataFrame, rows: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Those rows of open buckets that can be linked to another, with shared: how many of their shingles any other one has.
+
+    A pair's intersection is at most what either shares with any, and must be s / (1 + s) of the sum of its sizes at least.
+    """
+    own = open_.select("id", "size").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches):
+            sets, first = shingle_sets(c, k)
+            take = pa.array(np.repeat(np.arange(len(c)), np.diff(first)))
+            yield pa.RecordBatch.from_arrays([c.rows.column("id").take(take), pa.array(sets.view(np.int64))], ["id", "shingle"])
+
+    shingles = rows.join(own.select("id"), "id", "left_semi").mapInArrow(run, "id long, shingle long")
+    alone = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("alone"))
+    shared = own.join(alone, "id", "left").select("id", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    smallest = F.greatest(F.col("least").cast("double"), similarity * F.col("size"))
+    able = open_.join(shared, "id").where(F.col("shared") >= similarity / (1 + similarity) * (F.col("size") + smallest) - 1e-6)
+    return written(_several(able), "open-buckets")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
