@@ -4,8 +4,8 @@ Each document's set of word shingles is hashed under some permutations, and of e
 are kept: twice as many unbiased values as hash evaluations, with less variance than as many minima. The values are banded;
 documents that share a band are candidates, and a candidate is linked only if the full sets are similar enough.
 
-Documents with equal sets are one class from the start. A band's bucket of n classes makes n - 1 candidates: each with the
-one whose buckets are largest. Where that leaves a bucket in several components, members that share too few shingles with
+Documents with equal sets are one class from the start. A class is compared with one other first: of the hubs of its bands' buckets (the members whose
+buckets are largest in all) the most central. Where that leaves a bucket in several components, members that share too few shingles with
 all others to be linked to any are settled; small buckets then compare what isn't connected yet, and larger ones are parted by
 a further band and treated again, so that no bucket makes all its pairs and no link depends on a cap.
 """
@@ -97,7 +97,7 @@ def linked(pairs: DataFrame, rows: DataFrame, k: int, similarity: float) -> Data
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     members = pairs.join(groups, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "groups").cast("int").alias("part"), F.lit(1).alias("member"))
     hubs = groups.select(F.col("a").alias("id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("member"))
-    texts = rows.join(members.unionByName(hubs), "id").select("hub", "part", "member", "id", "text")
+    texts = rows.join(members.unionByName(hubs).hint("merge"), "id").select("hub", "part", "member", "id", "text")
     percent = round(100 * similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,19 +133,20 @@ def classes(rows: DataFrame, k: int, similarity: float) -> tuple[DataFrame, Data
     while True:
         held = written(_centred(buckets), "buckets")
         near = (F.col("size") >= similarity * F.col("hub_size")) & (F.col("hub_size") >= similarity * F.col("size"))
-        pairs, done = _new(held.where((F.col("id") != F.col("hub")) & near).select(F.col("hub").alias("a"), F.col("id").alias("b")), done)
+        best = held.where((F.col("id") != F.col("hub")) & near).groupBy("id").agg(F.max(F.struct("hub_weight", (-F.col("hub")).alias("minus"))).alias("best"))
+        pairs, done = _new(best.select((-F.col("best.minus")).alias("a"), F.col("id").alias("b")), done)
         links = _also(links, linked(pairs, rows, k, similarity))
         reached = components(links)
         open_ = _open(held, reached)
         if open_.isEmpty():
             break
         open_ = _supported(open_, rows, k, similarity)
-        small = open_.where(F.col("members") <= SMALL)
-        x, y = small.alias("x"), small.alias("y")
+        x, y = open_.where(F.col("members") <= SMALL).alias("x"), open_.alias("y")
         share = similarity / (1 + similarity)
-        can = F.least("x.shared", "y.shared") >= share * (F.col("x.size") + F.col("y.size")) - 1e-6
-        pairs = x.join(y, F.expr("x.bucket = y.bucket AND x.id < y.id AND x.component <> y.component") & can).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        pairs, done = _new(pairs, done)
+        can = F.expr("x.bucket = y.bucket AND x.component <> y.component") & (F.least("x.shared", "y.shared") >= share * (F.col("x.size") + F.col("y.size")) - 1e-6)
+        few = x.join(y, can & F.expr("x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        many = open_.where((F.col("members") > SMALL) & (F.col("id") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        pairs, done = _new(few.unionByName(many), done)
         if not pairs.isEmpty():
             links = _also(links, linked(pairs, rows, k, similarity))
             reached = components(links)
@@ -166,7 +167,7 @@ def _centred(buckets: DataFrame) -> DataFrame:
     held = written(buckets.join(counts, "bucket"), "shared-buckets")
     weight = held.groupBy("id").agg(F.sum("n").alias("weight"))
     best = held.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), F.col("size").alias("hub_size"))).alias("best"))
-    return held.join(best.select("bucket", (-F.col("best.minus")).alias("hub"), "best.hub_size"), "bucket")
+    return held.join(best.select("bucket", (-F.col("best.minus")).alias("hub"), "best.hub_size", F.col("best.weight").alias("hub_weight")), "bucket")
 
 
 def _new(pairs: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -182,8 +183,8 @@ def _also(links: DataFrame | None, more: DataFrame) -> DataFrame:
 
 
 def _open(held: DataFrame, reached: DataFrame) -> DataFrame:
-    """The rows of buckets of three or more that lie in more than one component."""
-    placed = held.where("n > 2").select("id", "size", "bucket", "last").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    """The rows of buckets that lie in more than one component."""
+    placed = held.select("id", "size", "bucket", "last", "hub").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     return written(_several(placed), "open-buckets")
 
 
@@ -205,7 +206,7 @@ def _supported(open_: DataFrame, rows: DataFrame, k: int, similarity: float) ->
             take = pa.array(np.repeat(np.arange(len(c)), np.diff(first)))
             yield pa.RecordBatch.from_arrays([c.rows.column("id").take(take), pa.array(sets.view(np.int64))], ["id", "shingle"])
 
-    shingles = rows.join(own.select("id"), "id", "left_semi").mapInArrow(run, "id long, shingle long")
+    shingles = rows.join(own.select("id").hint("merge"), "id", "left_semi").mapInArrow(run, "id long, shingle long")
     alone = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("alone"))
     shared = own.join(alone, "id", "left").select("id", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
     smallest = F.greatest(F.col("least").cast("double"), similarity * F.col("size"))
