@@ -104,12 +104,15 @@ def fuzzy_word(text: Column, term: str, distance: int) -> Column:
     def near(w: Column) -> Column:
         return F.levenshtein(w, F.lit(term), distance) >= 0
 
+    def window(w: Column, size: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(w) - size + 1, F.lit(1)))
+        return F.exists(places, lambda i: (F.length(w) >= size) & near(F.substring(w, i, F.lit(size))))
+
     def in_word(w: Column) -> Column:
         sizes = [k for k in range(len(term) - distance, len(term) + distance + 1) if k > 0]
-        some = [F.exists(F.sequence(F.lit(1), F.greatest(F.length(w) - k + 1, F.lit(1))), lambda i, k=k: (F.length(w) >= k) & near(F.substring(w, i, F.lit(k)))) for k in sizes]
-        return near(w) | ((F.octet_length(w) > F.length(w)) & any_of(some))
+        return near(w) | ((F.octet_length(w) > F.length(w)) & any_of([window(w, k) for k in sizes]))
 
-    return F.coalesce(F.exists(words, lambda w: in_word(w)), F.lit(False))
+    return F.coalesce(F.exists(words, in_word), F.lit(False))
 
 
 def term_count(text: Column, term: str) -> Column:
