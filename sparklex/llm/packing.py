@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparklex.llm.bytewords import chunks
-from sparklex.llm.wordids import WordIds
+from sparklex.llm.wordids import word_ids
 
 
 @dataclass(frozen=True)
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, made = WordIds(tokenizer), []
+        encoder, made = word_ids(tokenizer), []
         sequence = TaskContext.get().partitionId() << 32
         names: dict[int, object] = {}
         waiting: dict[int, int] = {}  # ids of each document not yet placed

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sparklex.llm.bytewords import chunks
 from sparklex.llm.scratch import dropped, new_path, written
-from sparklex.llm.wordids import WordIds
+from sparklex.llm.wordids import word_ids
 
 MAGIC = b"RVB1"
 #: In the files, the number of a document whose id is null.
@@ -63,7 +63,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     """doc_id, n_tokens and ids (little-endian unsigned 32 bits, packed as 16 bits where all fit: wide is false) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(tokenizer)
+        encoder = word_ids(tokenizer)
         for c in chunks(batches):
             raw = c.data.tobytes()
             ids = encoder.encode([raw[a:b] for a, b in zip(c.at[:-1], c.at[1:], strict=True)], end_id)

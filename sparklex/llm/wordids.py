@@ -1,8 +1,9 @@
 """Ids of a public tokenizer that never joins words over white space, with the ids of words kept once made.
 
 Such a tokenizer's ids of a text are the ids of its words, one after the other, so each distinct word of a task is
-encoded by the library once (or again, when the bounded store of words was emptied). A word of letters and then
-punctuation has the ids of the two, as the tokenizer parts them too, and capitals have those of small letters.
+encoded by the library once (or again, when the bounded store of words was emptied). A word of Latin letters and then
+punctuation has the ids of the two, as the tokenizer parts them too. Its letters need neither normalising nor parting:
+in small letters and as byte symbols they go to the library's model at once. All other words go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -10,15 +11,25 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
-#: Words and bytes that a task keeps.
-KEPT_WORDS, KEPT_BYTES = 300_000, 24 << 20
+#: Words and bytes that a worker keeps.
+KEPT_WORDS, KEPT_BYTES = 600_000, 48 << 20
 
+#: Precomposed Latin letters (but the one whose small letter is two characters), then ASCII punctuation but the apostrophe (which can begin a contraction).
+PARTS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
-#: Letters, the last of ASCII or followed by nothing, then ASCII punctuation but the apostrophe (which can begin a contraction).
-PARTS = re.compile(rb"((?:[A-Za-z]|[\xc3-\xc9][\x80-\xbf])*[A-Za-z])([!-&(-/:-@\[-`{-~]*)")
+#: Bytes that a byte-level vocabulary writes as the character of that number; the others follow from 256 on.
+PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SYMBOLS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(PLAIN)))}
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The words' ids of this tokenizer, kept from task to task where Spark uses a worker again."""
+    return WordIds(path)
 
 
 class WordIds:
@@ -27,6 +38,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
         self.bytes = 0
 
@@ -36,20 +48,37 @@ class WordIds:
         if len(self.known) > KEPT_WORDS or self.bytes > KEPT_BYTES:
             self.known.clear()
             self.bytes = 0
-        new = set().union(*words).difference(self.known)
-        parts = {w: (m[1].lower(), m[2]) if (m := PARTS.fullmatch(w)) else (w, b"") for w in new}
-        self._add(sorted(set().union(*parts.values()).difference(self.known)))
-        for w, (head, tail) in parts.items():
-            self._keep(w, self.known[head] + self.known[tail])
+        self._add(set().union(*words).difference(self.known))
         end = np.array([end_id], "<u4").tobytes()
         return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)) + end, "<u4") for ws in words]
 
-    def _add(self, new: list[bytes]) -> None:
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+    def _add(self, new: set[bytes]) -> None:
+        others = []
+        for w in new:
+            if m := PARTS.fullmatch(w.decode("utf-8", "replace")):
+                self._keep(w, self._letters(m[1].lower().encode()) + (self._punctuation(m[2].encode()) if m[2] else b""))
+            else:
+                others.append(w)
+        self._encode(others)
+
+    def _encode(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
                 self._keep(w, array("I", e.ids).tobytes())
 
+    def _letters(self, head: bytes) -> bytes:
+        if (ids := self.known.get(head)) is None:
+            symbols = head.decode("ascii") if head.isascii() else head.decode("latin-1").translate(SYMBOLS)
+            ids = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+            self._keep(head, ids)
+        return ids
+
+    def _punctuation(self, tail: bytes) -> bytes:
+        if tail not in self.known:
+            self._encode([tail])
+        return self.known[tail]
+
     def _keep(self, word: bytes, ids: bytes) -> None:
         if word not in self.known:
             self.known[word] = ids
