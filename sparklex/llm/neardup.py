@@ -129,14 +129,13 @@ def classes(rows: DataFrame, k: int, similarity: float) -> tuple[DataFrame, Data
     signed = written(signatures(rows, k, similarity), "signatures")
     sets = written(signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*key).agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "classes")
     buckets = sets.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket")).withColumn("last", F.col("bucket"))
-    links, done = None, None
+    reached, done = None, None
     while True:
         held = written(_centred(buckets), "buckets")
         near = (F.col("size") >= similarity * F.col("hub_size")) & (F.col("hub_size") >= similarity * F.col("size"))
         best = held.where((F.col("id") != F.col("hub")) & near).groupBy("id").agg(F.max(F.struct("hub_weight", (-F.col("hub")).alias("minus"))).alias("best"))
         pairs, done = _new(best.select((-F.col("best.minus")).alias("a"), F.col("id").alias("b")), done)
-        links = _also(links, linked(pairs, rows, k, similarity))
-        reached = components(links)
+        reached = _joined(reached, pairs, rows, k, similarity)
         open_ = _open(held, reached)
         if open_.isEmpty():
             break
@@ -147,9 +146,7 @@ def classes(rows: DataFrame, k: int, similarity: float) -> tuple[DataFrame, Data
         few = x.join(y, can & F.expr("x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         many = open_.where((F.col("members") > SMALL) & (F.col("id") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
         pairs, done = _new(few.unionByName(many), done)
-        if not pairs.isEmpty():
-            links = _also(links, linked(pairs, rows, k, similarity))
-            reached = components(links)
+        reached = _joined(reached, pairs, rows, k, similarity)
         large = open_.where(F.col("members") > SMALL).select("id", "size", "bucket", "last")
         further = large.join(sets.select("id", "bands"), "id").select("id", "size", "bucket", "last", F.explode("bands").alias("band"))
         # a bucket's bands are in ascending order, so that each set of bands is made once and there is an end
@@ -177,9 +174,16 @@ def _new(pairs: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame
     return pairs, pairs if done is None else done.unionByName(pairs)
 
 
-def _also(links: DataFrame | None, more: DataFrame) -> DataFrame:
-    more = written(more, "similar")
-    return more if links is None else links.unionByName(more)
+def _joined(reached: DataFrame | None, pairs: DataFrame, rows: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The components with the links among pairs; those found so far go in as stars, which need few rounds."""
+    if reached is not None and pairs.isEmpty():
+        return reached
+    links = written(linked(pairs, rows, k, similarity), "similar")
+    if reached is not None:
+        if links.isEmpty():
+            return reached
+        links = links.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return components(links)
 
 
 def _open(held: DataFrame, reached: DataFrame) -> DataFrame:
