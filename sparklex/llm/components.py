@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sparklex.llm.scratch import dropped, written
 
-
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links each node's larger neighbours to the least of it and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -22,19 +21,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node is linked to one smaller node at most, and to none if larger ones are linked to it."""
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("least"), F.col("b").alias("most")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("least"), F.col("b").alias("most")))
+    return ends.groupBy("node").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node that it reaches) of each node in links (a, b, of one sortable type).
 
-    Nodes without links aren't in the result; links of a node with itself, and nulls, are left out. What returns to the
-    driver in each round is a count and a sum, by which it sees that nothing moved.
+    Nodes without links aren't in the result; links of a node with itself, and nulls, are left out. links is read more
+    than once: a written table, best of all. What returns to the
+    driver in each round is whether all is stars.
     """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    last = None
-    while True:
-        n = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-        if tuple(n) == last or not n[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        last = tuple(n)
-        moved = written(_small_star(_large_star(edges).distinct()).distinct(), "links")
-        dropped(edges)
-        edges = moved
+    edges, own = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), None
+    while not _stars(edges):
+        moved = written(_small_star(_large_star(edges)).distinct(), "links", narrow=True)
+        if own is not None:
+            dropped(own)
+        edges = own = moved
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
+    return (ends if own is not None else ends.distinct()).unionByName(roots.distinct())

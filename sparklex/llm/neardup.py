@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sparklex.llm.bytewords import Chunk, chunks, mix, random64, windows, words
 from sparklex.llm.components import components
-from sparklex.llm.scratch import dropped, written
+from sparklex.llm.scratch import dropped, fewer, written
 
 #: A similar pair shares no band with at most this probability.
 MISS = 1e-6
@@ -120,18 +120,18 @@ def linked(pairs: DataFrame, rows: DataFrame, k: int, similarity: float) -> Data
                     b.append(number)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "member").mapInArrow(run, "a long, b long")
+    return fewer(texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "member")).mapInArrow(run, "a long, b long")
 
 
 def classes(rows: DataFrame, k: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Of rows (id, text): the written signatures, and n_shingles, s1, s2, component (the smallest id) of each class of equal sets."""
     key = ["n_shingles", "s1", "s2"]
     signed = written(signatures(rows, k, similarity), "signatures")
-    sets = written(signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*key).agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "classes")
+    sets = written(signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*key).agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "classes", narrow=True)
     buckets = sets.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket")).withColumn("last", F.col("bucket"))
     reached, done = None, None
     while True:
-        held = written(_centred(buckets), "buckets")
+        held = written(_centred(buckets), "buckets", narrow=True)
         near = (F.col("size") >= similarity * F.col("hub_size")) & (F.col("hub_size") >= similarity * F.col("size"))
         best = held.where((F.col("id") != F.col("hub")) & near).groupBy("id").agg(F.max(F.struct("hub_weight", (-F.col("hub")).alias("minus"))).alias("best"))
         pairs, done = _new(best.select((-F.col("best.minus")).alias("a"), F.col("id").alias("b")), done)
@@ -150,7 +150,7 @@ def classes(rows: DataFrame, k: int, similarity: float) -> tuple[DataFrame, Data
         large = open_.where(F.col("members") > SMALL).select("id", "size", "bucket", "last")
         further = large.join(sets.select("id", "bands"), "id").select("id", "size", "bucket", "last", F.explode("bands").alias("band"))
         # a bucket's bands are in ascending order, so that each set of bands is made once and there is an end
-        buckets = written(further.where("band > last").select("id", "size", F.xxhash64("bucket", "band").alias("bucket"), F.col("band").alias("last")), "buckets")
+        buckets = written(further.where("band > last").select("id", "size", F.xxhash64("bucket", "band").alias("bucket"), F.col("band").alias("last")), "buckets", narrow=True)
         dropped(held)
         if buckets.isEmpty():
             break
@@ -161,7 +161,7 @@ def classes(rows: DataFrame, k: int, similarity: float) -> tuple[DataFrame, Data
 def _centred(buckets: DataFrame) -> DataFrame:
     """The rows of buckets of two or more, with n and the hub: that member whose buckets are largest in all, as the one most alike the others."""
     counts = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    held = written(buckets.join(counts, "bucket"), "shared-buckets")
+    held = written(buckets.join(counts, "bucket"), "shared-buckets", narrow=True)
     weight = held.groupBy("id").agg(F.sum("n").alias("weight"))
     best = held.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), F.col("size").alias("hub_size"))).alias("best"))
     return held.join(best.select("bucket", (-F.col("best.minus")).alias("hub"), "best.hub_size", F.col("best.weight").alias("hub_weight")), "bucket")
@@ -170,7 +170,7 @@ def _centred(buckets: DataFrame) -> DataFrame:
 def _new(pairs: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Those pairs that weren't compared before, each once, and all that were, with them."""
     pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).groupBy("lo", "hi").agg(F.min("a").alias("a")).withColumn("b", F.col("lo") + F.col("hi") - F.col("a"))
-    pairs = written(pairs if done is None else pairs.join(done, ["lo", "hi"], "left_anti"), "candidates")
+    pairs = written(pairs if done is None else pairs.join(done, ["lo", "hi"], "left_anti"), "candidates", narrow=True)
     return pairs, pairs if done is None else done.unionByName(pairs)
 
 
@@ -178,7 +178,7 @@ def _joined(reached: DataFrame | None, pairs: DataFrame, rows: DataFrame, k: int
     """The components with the links among pairs; those found so far go in as stars, which need few rounds."""
     if reached is not None and pairs.isEmpty():
         return reached
-    links = written(linked(pairs, rows, k, similarity), "similar")
+    links = written(linked(pairs, rows, k, similarity), "similar", narrow=True)
     if reached is not None:
         if links.isEmpty():
             return reached
@@ -189,7 +189,7 @@ def _joined(reached: DataFrame | None, pairs: DataFrame, rows: DataFrame, k: int
 def _open(held: DataFrame, reached: DataFrame) -> DataFrame:
     """The rows of buckets that lie in more than one component."""
     placed = held.select("id", "size", "bucket", "last", "hub").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return written(_several(placed), "open-buckets")
+    return written(_several(placed), "open-buckets", narrow=True)
 
 
 def _several(placed: DataFrame) -> DataFrame:
@@ -210,12 +210,12 @@ def _supported(open_: DataFrame, rows: DataFrame, k: int, similarity: float) ->
             take = pa.array(np.repeat(np.arange(len(c)), np.diff(first)))
             yield pa.RecordBatch.from_arrays([c.rows.column("id").take(take), pa.array(sets.view(np.int64))], ["id", "shingle"])
 
-    shingles = rows.join(own.select("id").hint("merge"), "id", "left_semi").mapInArrow(run, "id long, shingle long")
+    shingles = fewer(rows.join(own.select("id").hint("merge"), "id", "left_semi")).mapInArrow(run, "id long, shingle long")
     alone = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("alone"))
     shared = own.join(alone, "id", "left").select("id", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
     smallest = F.greatest(F.col("least").cast("double"), similarity * F.col("size"))
     able = open_.join(shared, "id").where(F.col("shared") >= similarity / (1 + similarity) * (F.col("size") + smallest) - 1e-6)
-    return written(_several(able), "open-buckets")
+    return written(_several(able), "open-buckets", narrow=True)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
