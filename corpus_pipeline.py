@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines are cut out; documents of which nothing is left go."""
-    return lines.deduplicated(docs)
+    """Later copies of repeated runs of lines, and of single lines of MIN_WORDS words, are cut out; documents of which nothing is left go."""
+    return lines.deduplicated(docs, min_words=lines.MIN_WORDS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

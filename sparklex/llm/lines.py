@@ -5,7 +5,8 @@ their first 1, 2, 4, ... lines: the rank for twice the depth is that of the pair
 on, named in sorted order. Suffixes that share a rank at some depth are an interval of the suffix array whose longest common
 prefix is at least that deep: a repeated run. Suffixes whose rank is theirs alone are discarded, as no longer run repeats
 there, so that rounds shrink, and they end when no run repeats. In each interval the first place stands; the runs at all
-others are later copies, and their lines are deleted.
+others are later copies, and their lines are deleted. A line of many words is a passage by itself: with min_words, later
+copies of single lines that long are deleted, too.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from sparklex.llm.scratch import written
 MIN_RUN = 2
 #: A line that counts has something else than ASCII white space; lines without go only with the run around them.
 WORD = "[^\\x20\\x09-\\x0D]"
+#: Words of the shortest line that is a passage by itself, where lines are deleted singly.
+MIN_WORDS = 20
 PLACE = ("id", "version", "i")
 
 
@@ -28,12 +31,20 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(F.col(text_col)).alias("version"), F.split(F.col(text_col), "\n").alias("lines"), row)
 
 
-def line_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, version, i (number among the document's lines with a word), at (among all lines), next (the at of i + 1), line (its digest)."""
+def _wide(line: Column, min_words: int) -> Column:
+    """Whether a line has so many words; possessive, so that each character is met once."""
+    return line.rlike(f"\\A[\\x20\\x09-\\x0D]*+(?:{WORD}++[\\x20\\x09-\\x0D]++){{{min_words - 1}}}{WORD}")
+
+
+def line_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
+    """id, version, i (number among the document's lines with a word), at (among all lines), next (the at of i + 1), line (its digest).
+
+    With min_words, wide, too: whether the line has so many words.
+    """
     keyed = _keyed(docs, id_col, text_col).select("id", "version", "lines")
-    counted = F.filter(F.transform("lines", lambda x, k: F.struct(k.alias("at"), F.when(x.rlike(WORD), F.unhex(F.md5(x))).alias("line"))), lambda s: s["line"].isNotNull())
+    counted = F.filter(F.transform("lines", lambda x, k: F.struct(k.alias("at"), F.when(x.rlike(WORD), F.unhex(F.md5(x))).alias("line"), *([_wide(x, min_words).alias("wide")] if min_words else []))), lambda s: s["line"].isNotNull())
     rows = keyed.select("id", "version", counted.alias("lines")).select("id", "version", F.col("lines.at").alias("ats"), F.posexplode("lines").alias("i", "l"))
-    return rows.select("id", "version", "i", F.col("l.at").alias("at"), F.try_element_at("ats", F.col("i") + 2).alias("next"), F.col("l.line").alias("line"))
+    return rows.select("id", "version", "i", F.col("l.at").alias("at"), F.try_element_at("ats", F.col("i") + 2).alias("next"), F.col("l.line").alias("line"), *([F.col("l.wide").alias("wide")] if min_words else []))
 
 
 def _named(rows: DataFrame, keys: list[str], depth: int) -> tuple[DataFrame, DataFrame]:
@@ -41,13 +52,13 @@ def _named(rows: DataFrame, keys: list[str], depth: int) -> tuple[DataFrame, Dat
     found = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1")
     ordered = found.repartitionByRange(*keys).sortWithinPartitions(*keys)
     intervals = written(ordered.select(F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("rank"), *keys, "n", "first"), "lcp-intervals")
-    ranked = rows.join(intervals.select(*keys, "rank", "first"), keys).select(*PLACE, "at", "next", "rank", (F.struct(*PLACE) != F.col("first")).alias("copy"))
+    ranked = rows.join(intervals.select(*keys, "rank", "first"), keys).select(*PLACE, "at", "next", "rank", (F.struct(*PLACE) != F.col("first")).alias("copy"), *[c for c in rows.columns if c == "wide"])
     return intervals, written(ranked, "suffix-ranks")
 
 
-def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, DataFrame, DataFrame]]:
-    """For each depth with repeated runs: the depth in lines, the intervals and the ranked places."""
-    level, depth = _named(line_ids(docs, id_col, text_col), ["line"], 1), 1
+def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> list[tuple[int, DataFrame, DataFrame]]:
+    """For each depth with repeated runs: the depth in lines, the intervals and the ranked places (with min_words, those of depth 1 with wide)."""
+    level, depth = _named(line_ids(docs, id_col, text_col, min_words), ["line"], 1), 1
     levels = []
     while not level[1].isEmpty():
         levels.append((depth, *level))
@@ -59,25 +70,34 @@ def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return levels
 
 
-def _cut(docs: DataFrame, id_col: str, text_col: str, min_run: int) -> DataFrame:
+def _cut(docs: DataFrame, id_col: str, text_col: str, min_run: int, min_words: int | None) -> DataFrame:
     """row, lines, kept (numbers of the lines that stay, null if all), deepest of each row of docs."""
     if min_run < 1 or min_run & (min_run - 1):
         raise ValueError("min_run isn't a power of two")
-    levels = suffix_levels(docs, id_col, text_col)
+    if min_words is not None and min_words < 1:
+        raise ValueError("min_words isn't positive")
+    levels = suffix_levels(docs, id_col, text_col, min_words)
     keyed = _keyed(docs, id_col, text_col)
     deep = [x for x in levels if x[0] >= min_run]
-    if not deep:
+    # single lines of min_words words or more; all of depth 1 go anyway if min_run is 1
+    wide = levels[0][2].where("copy AND wide") if min_words and levels and min_run > 1 else None
+    if not deep and wide is None:
         return keyed.withColumns({"gone": F.lit(None).cast("array<int>"), "deepest": F.lit(0)})
-    # a run of min_run lines or more is the union of its windows of min_run lines
-    depth, _, ranked = deep[0]
-    copies = ranked.where("copy").select("id", "version", "i")
-    starts = copies.select("id", "version", F.explode(F.sequence(F.col("i"), F.col("i") + depth - 1)).alias("i")).distinct() if depth != 2 else None
-    if starts is None:
-        spans = ranked.where("copy").select("id", "version", F.sequence("at", "next").alias("span"))
-    else:
-        spans = line_ids(docs, id_col, text_col).join(starts, list(PLACE)).select("id", "version", F.array("at").alias("span"))
+    spans = deepest = None
+    if deep:
+        # a run of min_run lines or more is the union of its windows of min_run lines
+        depth, _, ranked = deep[0]
+        copies = ranked.where("copy").select("id", "version", "i")
+        starts = copies.select("id", "version", F.explode(F.sequence(F.col("i"), F.col("i") + depth - 1)).alias("i")).distinct() if depth != 2 else None
+        if starts is None:
+            spans = ranked.where("copy").select("id", "version", F.sequence("at", "next").alias("span"))
+        else:
+            spans = line_ids(docs, id_col, text_col).join(starts, list(PLACE)).select("id", "version", F.array("at").alias("span"))
+    if wide is not None:
+        alone = wide.select("id", "version", F.array("at").alias("span"))
+        spans = alone if spans is None else spans.unionByName(alone)
+        deepest = wide.select("id", "version", F.lit(1).alias("deepest"))
     gone = spans.groupBy("id", "version").agg(F.array_distinct(F.flatten(F.collect_list("span"))).alias("gone"))
-    deepest = None
     for d, _, r in deep:
         part = r.where("copy").select("id", "version", F.lit(d).alias("deepest"))
         deepest = part if deepest is None else deepest.unionByName(part)
@@ -90,15 +110,15 @@ def _stay() -> Column:
     return F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(left, lambda k: F.get("lines", k)))
 
 
-def report(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
     """doc_id, text (that is left), n_lines, n_removed, deepest (depth of the deepest interval with a later copy here) of each row.
 
     A run is min_run or more consecutive lines with a word (\\n-split, compared as they are); of equal runs, that with the
     smallest place (doc_id, then number of the line) stays, and the lines of all others go, with the lines without a word
-    between them. A null text has no lines and stays null; an empty one has one line without a word. Null ids come last.
+    between them. With min_words, a line of so many words or more is a run by itself. A null text has no lines and stays null; an empty one has one line without a word. Null ids come last.
     Repeated rows (equal id and text) are one place: they aren't copies of each other.
     """
-    cut = _cut(docs, id_col, text_col, min_run).withColumn("stay", _stay())
+    cut = _cut(docs, id_col, text_col, min_run, min_words).withColumn("stay", _stay())
     n = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines"))
     return cut.select(
         F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.array_join("stay", "\n").alias("text"), n.cast("long").alias("n_lines"),
@@ -106,12 +126,12 @@ def report(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text
     )
 
 
-def deduplicated(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
     """docs with later copies of repeated runs cut out of its texts; a document of which no line with a word is left goes.
 
     Documents that had no such line before stay as they were, null texts too. All columns stay.
     """
-    cut = _cut(docs, id_col, text_col, min_run).withColumn("stay", _stay())
+    cut = _cut(docs, id_col, text_col, min_run, min_words).withColumn("stay", _stay())
     empty = F.col("gone").isNotNull() & ~F.exists("stay", lambda x: x.rlike(WORD))
     columns = [F.when(F.col("gone").isNull(), F.col(f"row.`{c}`")).otherwise(F.array_join("stay", "\n")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return cut.where(~empty).select(*columns)

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sparklex.llm import bytewords, components, decontamination, fmindex, lines, neardup, packing, quality, scoring, sharding, substrings, tokenfiles, warc
 from sparklex.llm.queries import tokenizer_path
 
@@ -111,6 +112,17 @@ def test_lines(spark, empty):
     assert lines.report(empty).count() == 0
 
 
+def test_long_lines(spark):
+    """A passage of one line that documents share is a repeated run, too."""
+    long, other = (" ".join(f"{c}{i}" for i in range(20)) for c in "pq")
+    texts = [f"a\n{long}\nb", f"c\n \t{long}\nd", f"e\n{long}\n\nf", long, other, other, f"{long}\n{long} x", " ".join(other.split()[1:]), " ".join(other.split()[1:]), "s", "s"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(lines.report(df, min_words=20))
+    assert got["text"].tolist() == [texts[0], texts[1], "e\n\nf", "", other, "", f"{long} x", *texts[7:]]
+    assert got["n_removed"].tolist() == [0, 0, 1, 1, 0, 1, 1, 0, 0, 0, 0] and got["deepest"].tolist() == got["n_removed"].tolist()
+    assert sorted(r.doc_id for r in corpus_pipeline.line_dedup(spark, df, "").collect()) == [0, 1, 2, 4, 6, 7, 8, 9, 10]
+
+
 def test_vbyte():
     x = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1], np.uint32)
     for n in range(len(x) + 1):
