@@ -21,17 +21,20 @@ def text_source(columns: tuple[str, ...], delimiter: str = " ") -> Column:
 def documents(snapshot: DataFrame, spec: TableSpec) -> DataFrame:
     """The search table of a snapshot: key, filters, norm_text, orig_text of rows that the required filters let in.
 
-    A null key fails the job. Of rows with one key, the first in the order of their texts stays.
+    A null key fails the job. Of rows with one key that the filters let in, the first in the order of their texts stays, then
+    of their filter columns; nulls come last.
     """
     rows = snapshot.where(all_of([compare(f, snapshot.schema) for f in spec.required]))
     key = F.coalesce(F.col(f"`{spec.key}`"), F.raise_error(F.lit("a row without key")).cast(snapshot.schema[spec.key].dataType))
     source = text_source(spec.text, spec.delimiter)
-    return rows.select(key.alias(spec.key), *[F.col(f"`{c}`") for c in spec.filters], normalized(source, spec.nfkc, spec.width, spec.lower).alias("norm_text"), source.alias("orig_text"))
+    first = first_by_key(rows.select(key.alias(spec.key), *[F.col(f"`{c}`") for c in spec.filters], source.alias("orig_text")), spec.key, "orig_text", *spec.filters)
+    return first.select(f"`{spec.key}`", *[F.col(f"`{c}`") for c in spec.filters], normalized(F.col("orig_text"), spec.nfkc, spec.width, spec.lower).alias("norm_text"), "orig_text")
 
 
-def first_by_key(rows: DataFrame, key: str, arrival: str) -> DataFrame:
-    """Insert-or-ignore: of rows with one key, that which arrived first."""
-    best = rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), F.col(arrival)).alias("r"))
+def first_by_key(rows: DataFrame, key: str, *arrival: str) -> DataFrame:
+    """Insert-or-ignore: of rows with one key, that which arrived first, by these columns; nulls come last."""
+    order = F.struct(*[x for c in arrival for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+    best = rows.groupBy(f"`{key}`").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), order).alias("r"))
     return best.select("r.*")
 
 

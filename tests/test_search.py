@@ -60,6 +60,17 @@ def test_modes(spark):
     assert ids(table(spark, texts).matches(Query(""))) == []
 
 
+def test_repeated_keys(spark):
+    rows = [(1, "b x", 1), (1, "a x", 2), (1, None, 0), (1, "a x", 1), (1, "a x", None), (2, None, 5), (2, None, 3), (3, None, None), (3, "x", 9), (4, "0", -1), (4, "y x", 4)]
+    df = spark.createDataFrame(rows, "id long, text string, v long").repartition(3)
+    t = SearchTable.of(df, TableSpec("id", ("text",), ("v",), verify="all", required=(Filter("v", "!=", "-1"),)))
+    assert sorted(map(tuple, t.rows.select("id", "v", "norm_text", "orig_text").collect())) == [(1, 1, "a x", "a x"), (2, 3, None, None), (3, 9, "x", "x"), (4, 4, "y x", "y x")]
+    assert t.count(Query("x")).first()[0] == 3 and t.facet("v").count() == 4
+    assert {r.ngram: r.docs for r in t.posting_sizes().collect()} == {"a ": 1, " x": 2, "y ": 1}
+    with pytest.raises(Exception, match="a row without key"):
+        SearchTable.of(spark.createDataFrame([(None, "a", 1)], df.schema), TableSpec("id", ("text",), ("v",))).rows.collect()
+
+
 def test_boolean_and_filters(spark):
     t = table(spark, ["ab", "cd", "ab cd", "ef"], "all")
     assert ids(t.matches(Query(expression=(Term("ab") | Term("cd")) & ~Term("ef")))) == [0, 1, 2]
