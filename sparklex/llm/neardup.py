@@ -6,8 +6,9 @@ documents that share a band are candidates, and a candidate is linked only if th
 
 Documents with equal sets are one class from the start. A class is compared with one other first: of the hubs of its bands' buckets (the members whose
 buckets are largest in all) the most central. Where that leaves a bucket in several components, members that share too few shingles with
-all others to be linked to any are settled; small buckets then compare what isn't connected yet, and larger ones are parted by
-a further band and treated again, so that no bucket makes all its pairs and no link depends on a cap.
+all others to be linked to any are settled; small buckets then compare what isn't connected yet. What is left of larger ones is
+dealt again by the rarest shingles of its full sets, of which similar sets share one for certain, and treated again; members of
+one such shingle that are still too many are dealt into blocks, each two of which meet. No pair that shares a band is left out.
 """
 
 from __future__ import annotations
@@ -128,9 +129,9 @@ def classes(rows: DataFrame, k: int, similarity: float) -> tuple[DataFrame, Data
     key = ["n_shingles", "s1", "s2"]
     signed = written(signatures(rows, k, similarity), "signatures")
     sets = written(signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*key).agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "classes", narrow=True)
-    buckets = sets.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket")).withColumn("last", F.col("bucket"))
+    buckets = sets.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
     reached, done = None, None
-    while True:
+    for deal in (_by_shingles, _by_blocks, None):
         held = written(_centred(buckets), "buckets", narrow=True)
         near = (F.col("size") >= similarity * F.col("hub_size")) & (F.col("hub_size") >= similarity * F.col("size"))
         best = held.where((F.col("id") != F.col("hub")) & near).groupBy("id").agg(F.max(F.struct("hub_weight", (-F.col("hub")).alias("minus"))).alias("best"))
@@ -140,24 +141,49 @@ def classes(rows: DataFrame, k: int, similarity: float) -> tuple[DataFrame, Data
         if open_.isEmpty():
             break
         open_ = _supported(open_, rows, k, similarity)
-        x, y = open_.where(F.col("members") <= SMALL).alias("x"), open_.alias("y")
+        small = F.col("members") <= SMALL if deal else F.lit(True)  # blocks are about that small
+        x, y = open_.where(small).alias("x"), open_.alias("y")
         share = similarity / (1 + similarity)
         can = F.expr("x.bucket = y.bucket AND x.component <> y.component") & (F.least("x.shared", "y.shared") >= share * (F.col("x.size") + F.col("y.size")) - 1e-6)
         few = x.join(y, can & F.expr("x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        many = open_.where((F.col("members") > SMALL) & (F.col("id") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        many = open_.where(~small & (F.col("id") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
         pairs, done = _new(few.unionByName(many), done)
         reached = _joined(reached, pairs, rows, k, similarity)
-        large = open_.where(F.col("members") > SMALL).select("id", "size", "bucket", "last")
-        further = large.join(sets.select("id", "bands"), "id").select("id", "size", "bucket", "last", F.explode("bands").alias("band"))
-        # a bucket's bands are in ascending order, so that each set of bands is made once and there is an end
-        buckets = written(further.where("band > last").select("id", "size", F.xxhash64("bucket", "band").alias("bucket"), F.col("band").alias("last")), "buckets", narrow=True)
         dropped(held)
+        if deal is None:
+            break
+        large = open_.where(~small).drop("component").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        buckets = written(deal(_several(large), rows, k, similarity), "buckets", narrow=True)
         if buckets.isEmpty():
             break
     found = sets.join(reached.withColumnRenamed("node", "id"), "id", "left").select(*key, F.coalesce("component", "id").alias("component"))
     return signed, found
 
 
+def _by_shingles(large: DataFrame, rows: DataFrame, k: int, similarity: float) -> DataFrame:
+    """id, size, bucket: the members of large buckets, dealt by the rarest of their shingles.
+
+    Similar sets have similarity * size of either's shingles in common at least, so that, all in one order, the first
+    size - similarity * size + 1 of either hold one of the other's. Shingles of one member are in no other's.
+    """
+    own = large.select("id", "size").distinct()
+    shingles = written(_shingles(rows, own, k), "shingles")
+    # written, so that the join gets it by a shuffle of its own and can part common shingles
+    counts = written(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shingle-counts", narrow=True)
+    each = shingles.join(counts.hint("merge"), "shingle", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle"))).alias("found"))
+    size = F.size("found")
+    first = F.slice("found", F.lit(1), size - F.ceil(round(100 * similarity) * size / 100).cast("int") + 1)
+    return each.select("id", size.cast("long").alias("size"), F.explode(first).alias("s")).where("s.n > 1").select("id", "size", F.col("s.shingle").alias("bucket"))
+
+
+def _by_blocks(large: DataFrame, rows: DataFrame, k: int, similarity: float) -> DataFrame:
+    """id, size, bucket: the members of large buckets in three or more parts of about SMALL / 2 each, a bucket for each two parts."""
+    parts = F.ceil(2 * F.col("members") / SMALL).cast("int")
+    dealt = large.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id", "bucket"), "parts").cast("int"))
+    dealt = dealt.select("id", "size", "bucket", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return dealt.where("part <> other").select("id", "size", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"))
+
+
 def _centred(buckets: DataFrame) -> DataFrame:
     """The rows of buckets of two or more, with n and the hub: that member whose buckets are largest in all, as the one most alike the others."""
     counts = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -188,7 +214,7 @@ def _joined(reached: DataFrame | None, pairs: DataFrame, rows: DataFrame, k: int
 
 def _open(held: DataFrame, reached: DataFrame) -> DataFrame:
     """The rows of buckets that lie in more than one component."""
-    placed = held.select("id", "size", "bucket", "last", "hub").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = held.select("id", "size", "bucket", "hub").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     return written(_several(placed), "open-buckets", narrow=True)
 
 
@@ -197,12 +223,8 @@ def _several(placed: DataFrame) -> DataFrame:
     return placed.drop("members", "least").join(groups.drop("c1", "c2"), "bucket")
 
 
-def _supported(open_: DataFrame, rows: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Those rows of open buckets that can be linked to another, with shared: how many of their shingles any other one has.
-
-    A pair's intersection is at most what either shares with any, and must be s / (1 + s) of the sum of its sizes at least.
-    """
-    own = open_.select("id", "size").distinct()
+def _shingles(rows: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """id, shingle: the sets of the rows whose ids own has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
@@ -210,8 +232,16 @@ def _supported(open_: DataFrame, rows: DataFrame, k: int, similarity: float) ->
             take = pa.array(np.repeat(np.arange(len(c)), np.diff(first)))
             yield pa.RecordBatch.from_arrays([c.rows.column("id").take(take), pa.array(sets.view(np.int64))], ["id", "shingle"])
 
-    shingles = fewer(rows.join(own.select("id").hint("merge"), "id", "left_semi")).mapInArrow(run, "id long, shingle long")
-    alone = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("alone"))
+    return fewer(rows.join(own.select("id").hint("merge"), "id", "left_semi")).mapInArrow(run, "id long, shingle long")
+
+
+def _supported(open_: DataFrame, rows: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Those rows of open buckets that can be linked to another, with shared: how many of their shingles any other one has.
+
+    A pair's intersection is at most what either shares with any, and must be s / (1 + s) of the sum of its sizes at least.
+    """
+    own = open_.select("id", "size").distinct()
+    alone = _shingles(rows, own, k).groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("alone"))
     shared = own.join(alone, "id", "left").select("id", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
     smallest = F.greatest(F.col("least").cast("double"), similarity * F.col("size"))
     able = open_.join(shared, "id").where(F.col("shared") >= similarity / (1 + similarity) * (F.col("size") + smallest) - 1e-6)

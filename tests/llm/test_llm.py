@@ -57,6 +57,44 @@ def test_neardup(spark, docs, empty, small, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == len(TEXTS) - 3
 
 
+def template_group(families=60, words=300, own=6, seed=1):
+    """Pairs of copies of one template that are just similar enough to each other, and hardly not to those of other pairs."""
+    rng = np.random.default_rng(seed)
+    template = [f"t{i}" for i in range(words)]
+    texts = []
+    for f in range(families):
+        place = rng.permutation(words // 3)[: 2 * own + 1] * 3
+        for j in range(2):
+            text = list(template)
+            for p in (place[0], *place[1 + j * own : 1 + (j + 1) * own][: own - j * 2]):
+                text[p] = f"e{f}" if p == place[0] else f"e{f}x{j}x{p}"
+            texts.append(" ".join(text))
+    return texts
+
+
+def brute_components(texts, k, similarity):
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in map(str.split, texts)]
+    name = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if name[i] != name[j] and both >= similarity * (len(x) + len(sets[j]) - both):
+                lo, hi = sorted((name[i], name[j]))
+                name = [lo if n == hi else n for n in name]
+    return name
+
+
+def test_neardup_large_buckets(spark, monkeypatch):
+    """In buckets over SMALL, whose hubs link few members, all links are found, too, however few bands a pair shares."""
+    monkeypatch.setattr(neardup, "SMALL", 8)
+    monkeypatch.setattr(neardup, "banding", lambda similarity: (1, 4))
+    texts = template_group()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = brute_components(texts, 3, 0.85)
+    assert 30 < len(set(want)) < len(want)
+    assert rows(neardup.near_duplicates(df, 3, 0.85)).sort_index()["component_id"].tolist() == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (8, 7), (2, 2)], "a long, b long")
     assert {r[0]: r[1] for r in components.components(links).collect()} == {5: 3, 4: 3, 3: 3, 9: 3, 8: 7, 7: 7}
