@@ -1,4 +1,4 @@
-"""Words of whole texts as numpy arrays over UTF-8 bytes, a few megabytes at a time.
+"""Words of whole texts as numpy arrays over UTF-8 bytes, half a megabyte at a time.
 
 A chunk is a slice of an Arrow batch whose texts add up to about CHUNK bytes (one longer text is a chunk
 of its own), so that the memory of a task is bounded by the longest text, not by its partition.
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 U64 = np.uint64
 
 #: Bytes of words: all but space and \t \n \v \f \r.

@@ -15,8 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words and bytes that a worker keeps.
-KEPT_WORDS, KEPT_BYTES = 600_000, 48 << 20
+#: Words and bytes that a worker keeps; bytes of objects and of their place in the store, as measured, beside a word's own.
+KEPT_WORDS, KEPT_BYTES, ENTRY_BYTES = 200_000, 32 << 20, 150
 
 #: Precomposed Latin letters (but the one whose small letter is two characters), then ASCII punctuation but the apostrophe (which can begin a contraction).
 PARTS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
@@ -82,4 +82,4 @@ class WordIds:
     def _keep(self, word: bytes, ids: bytes) -> None:
         if word not in self.known:
             self.known[word] = ids
-            self.bytes += len(word) + len(ids)
+            self.bytes += len(word) + len(ids) + ENTRY_BYTES
