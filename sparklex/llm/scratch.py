@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; where it is unset, as in tests, a temporary folder that is set as such."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -31,6 +33,11 @@ def fewer(df: DataFrame) -> DataFrame:
     return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
+def by_file(files: DataFrame) -> DataFrame:
+    """A manifest (a row a file) dealt so that its files are read side by side; files are few, so some tasks stay empty."""
+    return files.repartition(max(1, 3 * files.count()), "file")
+
+
 def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: it cuts the lineage and outlives executors. narrow: in fewer() tasks."""
     spark = df.sparkSession

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparklex.llm.bytewords import chunks
-from sparklex.llm.scratch import dropped, new_path, written
+from sparklex.llm.scratch import by_file, dropped, new_path, written
 from sparklex.llm.wordids import word_ids
 
 MAGIC = b"RVB1"
@@ -181,4 +181,4 @@ def read(manifest: DataFrame) -> DataFrame:
                         yield pd.DataFrame({"doc_id": pd.array(np.where(numbers == NULL_ID, 0, numbers), "Int64").copy(), "start": start + ends - lengths, "n_tokens": lengths, "ids": parts, "ids_crc32": [zlib.crc32(x) for x in parts]}).assign(doc_id=lambda d, none=numbers == NULL_ID: d["doc_id"].mask(none))
                         start += int(lengths.sum())
 
-    return files.repartition("file").mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    return by_file(files).mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")

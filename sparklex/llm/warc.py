@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklex.llm.scratch import new_path, written
+from sparklex.llm.scratch import by_file, new_path, written
 
 # The ARC and WARC formats.
 ARC_FIELDS = {
@@ -196,7 +196,7 @@ def arc_index(files: DataFrame) -> DataFrame:
                 if rows:
                     yield _frame(rows)
 
-    return files.select("folder", "file").repartition("file").mapInPandas(run, INDEX)
+    return by_file(files.select("folder", "file")).mapInPandas(run, INDEX)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -238,9 +238,9 @@ def plan(index: DataFrame, min_bytes: int = 0) -> DataFrame:
     """index with the response that each revisit refers to: refers_id, refers_page, refers_url, refers_date (else null).
 
     Of records with equal payloads of at least min_bytes, that with the largest page_id is the response (null ids are
-    smaller than others; ties go to the first in the order of file and place).
+    smaller than others; of equal ids, that with the largest url and then date; what ties still are alike).
     """
-    order = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("page"), F.col("record_id").alias("id"), F.col("page_id").alias("p"), F.col("url").alias("url"), F.col("date").alias("date"))
+    order = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("page"), F.col("url").alias("by_url"), F.col("date").alias("by_date"), F.col("record_id").alias("id"), F.col("page_id").alias("p"), F.col("url").alias("url"), F.col("date").alias("date"))
     key = ["payload_bytes", "payload_digest"]
     best = index.where(F.col("payload_bytes") >= min_bytes).groupBy(*key).agg(F.max(order).alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
     other = F.col("best.id") != F.col("record_id")
@@ -255,7 +255,7 @@ def convert(files: DataFrame, folder: str | None = None, min_bytes: int = 0) ->
     """
     folder = folder or new_path(files.sparkSession, "warc")
     planned = plan(written(arc_index(files), "arc-index"), min_bytes)
-    ordered = planned.repartition("file").sortWithinPartitions("file", "place", "record_id")
+    ordered = planned.repartition(max(1, 3 * files.count()), "file").sortWithinPartitions("file", "place", "record_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, to = fs.FileSystem.from_uri(folder)
@@ -332,4 +332,4 @@ def read_warc(files: DataFrame) -> DataFrame:
         types = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
-    return files.select("folder", "file").repartition("file").mapInArrow(run, schema)
+    return by_file(files.select("folder", "file")).mapInArrow(run, schema)

@@ -1,6 +1,7 @@
-"""Ids of a public tokenizer that never joins words over white space, with the ids of words kept once made.
+"""Ids of a public tokenizer, with the ids of words kept once made where it never joins words over white space.
 
-Such a tokenizer's ids of a text are the ids of its words, one after the other, so each distinct word of a task is
+That is so where its file has the normaliser and the splitter given here, and no added token with white space; the whole
+texts go through any other tokenizer. Such a tokenizer's ids of a text are the ids of its words, one after the other, so each distinct word of a task is
 encoded by the library once (or again, when the bounded store of words was emptied). A word of Latin letters and then
 punctuation has the ids of the two, as the tokenizer parts them too. Its letters need neither normalising nor parting:
 in small letters and as byte symbols they go to the library's model at once. All other words go through the whole tokenizer.
@@ -8,6 +9,7 @@ in small letters and as byte symbols they go to the library's model at once. All
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -26,6 +28,21 @@ PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SYMBOLS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(PLAIN)))}
 
 
+# The normaliser and the splitter of a tokenizer whose words can be taken one by one.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def by_words(tokenizer) -> bool:
+    """Whether the tokenizer's ids of a text are those of its words, so that they can be made word by word."""
+    d = json.loads(tokenizer.to_str())
+    plain = (d.get("normalizer") or {}).get("normalizers") == NORMALIZERS and (d.get("pre_tokenizer") or {}).get("pretokenizers") == SPLITTERS
+    return plain and d["model"]["type"] == "BPE" and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["normalized"] for t in d["added_tokens"])
+
+
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
     """The words' ids of this tokenizer, kept from task to task where Spark uses a worker again."""
@@ -39,17 +56,21 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_words = by_words(self.tokenizer)
         self.known: dict[bytes, bytes] = {}
         self.bytes = 0
 
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
         """For each text (UTF-8) its ids and end_id, as little-endian unsigned 32-bit integers."""
+        end = np.array([end_id], "<u4").tobytes()
+        if not self.by_words:
+            every = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [np.frombuffer(array("I", e.ids).tobytes() + end, "<u4") for e in every]
         words = [t.split() for t in texts]
         if len(self.known) > KEPT_WORDS or self.bytes > KEPT_BYTES:
             self.known.clear()
             self.bytes = 0
         self._add(set().union(*words).difference(self.known))
-        end = np.array([end_id], "<u4").tobytes()
         return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)) + end, "<u4") for ws in words]
 
     def _add(self, new: set[bytes]) -> None:
