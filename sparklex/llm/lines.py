@@ -4,14 +4,17 @@ The lines of all documents are one sequence of ids, with an end after each docum
 their first 1, 2, 4, ... lines: the rank for twice the depth is that of the pair of ranks at a place and the depth further
 on, named in sorted order. Suffixes that share a rank at some depth are an interval of the suffix array whose longest common
 prefix is at least that deep: a repeated run. Suffixes whose rank is theirs alone are discarded, as no longer run repeats
-there, so that rounds shrink, and they end when no run repeats. In each interval the first place stands; the runs at all
-others are later copies, and their lines are deleted. A line of many words is a passage by itself: with min_words, later
+there, so that rounds shrink, and they end when no run repeats. In each interval the first place stands, all others are
+later copies. Of a place, the deepest interval that it is a later copy in counts; next places of which the first ones are next to each other, too, are
+one maximal run, of so many lines as places and the depth less one, and the lines of these runs are deleted. A line of many words is a passage by itself: with min_words, later
 copies of single lines that long are deleted, too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparklex.llm.scratch import written
@@ -37,71 +40,72 @@ def _wide(line: Column, min_words: int) -> Column:
 
 
 def line_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
-    """id, version, i (number among the document's lines with a word), at (among all lines), next (the at of i + 1), line (its digest).
+    """id, version, i (number among the document's lines with a word), at (among all lines), line (its digest).
 
     With min_words, wide, too: whether the line has so many words.
     """
     keyed = _keyed(docs, id_col, text_col).select("id", "version", "lines")
     counted = F.filter(F.transform("lines", lambda x, k: F.struct(k.alias("at"), F.when(x.rlike(WORD), F.unhex(F.md5(x))).alias("line"), *([_wide(x, min_words).alias("wide")] if min_words else []))), lambda s: s["line"].isNotNull())
-    rows = keyed.select("id", "version", counted.alias("lines")).select("id", "version", F.col("lines.at").alias("ats"), F.posexplode("lines").alias("i", "l"))
-    return rows.select("id", "version", "i", F.col("l.at").alias("at"), F.try_element_at("ats", F.col("i") + 2).alias("next"), F.col("l.line").alias("line"), *([F.col("l.wide").alias("wide")] if min_words else []))
+    rows = keyed.select("id", "version", F.posexplode(counted).alias("i", "l"))
+    return rows.select("id", "version", "i", F.col("l.at").alias("at"), F.col("l.line").alias("line"), *([F.col("l.wide").alias("wide")] if min_words else []))
 
 
 def _named(rows: DataFrame, keys: list[str], depth: int) -> tuple[DataFrame, DataFrame]:
-    """Names equal keys in their order: the intervals (depth, rank, keys, first place) of two or more rows, and these rows with rank and copy."""
+    """Names equal keys in their order: the intervals (depth, rank, keys, first place) of two or more rows, and these rows with rank and first; at and last are where their runs begin and end."""
     found = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1")
     ordered = found.repartitionByRange(*keys).sortWithinPartitions(*keys)
     intervals = written(ordered.select(F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("rank"), *keys, "n", "first"), "lcp-intervals")
-    ranked = rows.join(intervals.select(*keys, "rank", "first"), keys).select(*PLACE, "at", "next", "rank", (F.struct(*PLACE) != F.col("first")).alias("copy"), *[c for c in rows.columns if c == "wide"])
+    ranked = rows.join(intervals.select(*keys, "rank", "first"), keys).select(*PLACE, "at", "last", "rank", "first", (F.struct(*PLACE) != F.col("first")).alias("copy"), *[c for c in rows.columns if c == "wide"])
     return intervals, written(ranked, "suffix-ranks")
 
 
 def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> list[tuple[int, DataFrame, DataFrame]]:
     """For each depth with repeated runs: the depth in lines, the intervals and the ranked places (with min_words, those of depth 1 with wide)."""
-    level, depth = _named(line_ids(docs, id_col, text_col, min_words), ["line"], 1), 1
+    level, depth = _named(line_ids(docs, id_col, text_col, min_words).withColumn("last", F.col("at")), ["line"], 1), 1
     levels = []
     while not level[1].isEmpty():
         levels.append((depth, *level))
-        ranked = level[1].select(*PLACE, "at", "next", "rank").distinct()
-        after = ranked.select("id", "version", (F.col("i") - depth).alias("i"), F.col("rank").alias("rank2"))
-        pairs = ranked.withColumnRenamed("rank", "rank1").join(after, list(PLACE))
+        ranked = level[1].select(*PLACE, "at", "last", "rank").distinct()
+        after = ranked.select("id", "version", (F.col("i") - depth).alias("i"), "last", F.col("rank").alias("rank2"))
+        pairs = ranked.drop("last").withColumnRenamed("rank", "rank1").join(after, list(PLACE))
         depth *= 2
         level = _named(pairs, ["rank1", "rank2"], depth)
     return levels
 
 
+def maximal_runs(levels: list[tuple[int, DataFrame, DataFrame]], min_run: int) -> DataFrame | None:
+    """id, version, begin, end (line numbers, both in the run), n (lines with a word) of each later copy of a maximal run; None without any.
+
+    All of a document is in one partition, as big as its lines; nothing of other documents is.
+    """
+    parts = [r.where("copy").select(*PLACE, "at", "last", "first", F.lit(d).alias("depth")) for d, _, r in levels if d >= min_run]
+    if not parts:
+        return None
+    places = reduce(DataFrame.unionByName, parts).repartition("id", "version")
+    deepest = Window.partitionBy(*PLACE).orderBy(F.desc("depth"))
+    source = ("id", "version", "depth", "first.id", "first.version", "shift")
+    places = places.withColumn("n", F.row_number().over(deepest)).where("n = 1").withColumn("shift", F.col("i") - F.col("first.i"))
+    along = Window.partitionBy(*source).orderBy("i")
+    runs = places.withColumn("run", F.col("i") - F.row_number().over(along)).groupBy("id", "version", "depth", F.col("first.id").alias("from_id"), F.col("first.version").alias("from_version"), "shift", "run")
+    return runs.agg(F.min("at").alias("begin"), F.max("last").alias("end"), (F.count("*") + F.max("depth") - 1).alias("n")).select("id", "version", "begin", "end", "n")
+
+
 def _cut(docs: DataFrame, id_col: str, text_col: str, min_run: int, min_words: int | None) -> DataFrame:
-    """row, lines, kept (numbers of the lines that stay, null if all), deepest of each row of docs."""
+    """row, lines, gone (numbers of the lines that go, null if none), deepest of each row of docs."""
     if min_run < 1 or min_run & (min_run - 1):
         raise ValueError("min_run isn't a power of two")
     if min_words is not None and min_words < 1:
         raise ValueError("min_words isn't positive")
     levels = suffix_levels(docs, id_col, text_col, min_words)
     keyed = _keyed(docs, id_col, text_col)
-    deep = [x for x in levels if x[0] >= min_run]
+    runs = maximal_runs(levels, min_run)
     # single lines of min_words words or more; all of depth 1 go anyway if min_run is 1
-    wide = levels[0][2].where("copy AND wide") if min_words and levels and min_run > 1 else None
-    if not deep and wide is None:
+    if min_words and levels and min_run > 1:
+        alone = levels[0][2].where("copy AND wide").select("id", "version", F.col("at").alias("begin"), F.col("at").alias("end"), F.lit(1).cast("long").alias("n")).distinct()
+        runs = alone if runs is None else runs.unionByName(alone)
+    if runs is None:
         return keyed.withColumns({"gone": F.lit(None).cast("array<int>"), "deepest": F.lit(0)})
-    spans = deepest = None
-    if deep:
-        # a run of min_run lines or more is the union of its windows of min_run lines
-        depth, _, ranked = deep[0]
-        copies = ranked.where("copy").select("id", "version", "i")
-        starts = copies.select("id", "version", F.explode(F.sequence(F.col("i"), F.col("i") + depth - 1)).alias("i")).distinct() if depth != 2 else None
-        if starts is None:
-            spans = ranked.where("copy").select("id", "version", F.sequence("at", "next").alias("span"))
-        else:
-            spans = line_ids(docs, id_col, text_col).join(starts, list(PLACE)).select("id", "version", F.array("at").alias("span"))
-    if wide is not None:
-        alone = wide.select("id", "version", F.array("at").alias("span"))
-        spans = alone if spans is None else spans.unionByName(alone)
-        deepest = wide.select("id", "version", F.lit(1).alias("deepest"))
-    gone = spans.groupBy("id", "version").agg(F.array_distinct(F.flatten(F.collect_list("span"))).alias("gone"))
-    for d, _, r in deep:
-        part = r.where("copy").select("id", "version", F.lit(d).alias("deepest"))
-        deepest = part if deepest is None else deepest.unionByName(part)
-    gone = gone.join(deepest.groupBy("id", "version").agg(F.max("deepest").alias("deepest")), ["id", "version"])
+    gone = runs.groupBy("id", "version").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("begin", "end")))).alias("gone"), F.max("n").alias("deepest"))
     return keyed.join(gone, ["id", "version"], "left")
 
 
@@ -111,7 +115,7 @@ def _stay() -> Column:
 
 
 def report(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
-    """doc_id, text (that is left), n_lines, n_removed, deepest (depth of the deepest interval with a later copy here) of each row.
+    """doc_id, text (that is left), n_lines, n_removed, deepest (lines of the longest maximal run with a later copy here) of each row.
 
     A run is min_run or more consecutive lines with a word (\\n-split, compared as they are); of equal runs, that with the
     smallest place (doc_id, then number of the line) stays, and the lines of all others go, with the lines without a word

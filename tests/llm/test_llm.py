@@ -150,6 +150,37 @@ def test_lines(spark, empty):
     assert lines.report(empty).count() == 0
 
 
+def brute_runs(texts, min_run):
+    """Lines that go, and lines of the longest later copy, of each text: by comparing all places."""
+    kept = [[(k, x) for k, x in enumerate(t.split("\n")) if x.strip()] for t in texts]
+    gone, longest = [set() for _ in texts], [0] * len(texts)
+    for d, a in enumerate(kept):
+        for i in range(len(a)):
+            for e in range(d + 1):
+                for j in range(len(kept[e]) if e < d else i):
+                    n = 0
+                    while i + n < len(a) and j + n < len(kept[e]) and a[i + n][1] == kept[e][j + n][1]:
+                        n += 1
+                    if n >= min_run:
+                        gone[d].update(range(a[i][0], a[i + n - 1][0] + 1))
+                        longest[d] = max(longest[d], n)
+    return gone, longest
+
+
+@pytest.mark.parametrize("min_run", [1, 2, 4])
+def test_maximal_runs(spark, min_run):
+    """Runs of any length, within texts and between them, go as a comparison of all places says."""
+    rng = np.random.default_rng(min_run)
+    texts = ["\n".join(rng.choice(["a", "b", "c", " ", "d d"], rng.integers(1, 12))) for _ in range(25)]
+    texts += ["\n".join(f"l{i}" for i in range(13)), "\n".join(["x", *(f"l{i}" for i in range(2, 12)), "y"]), "\n".join(["z"] * 9)]
+    got = rows(lines.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_run)).sort_index()
+    gone, longest = brute_runs(texts, min_run)
+    assert got["n_removed"].tolist() == [len(g) for g in gone]
+    assert got["text"].tolist() == ["\n".join(x for k, x in enumerate(t.split("\n")) if k not in g) for t, g in zip(texts, gone)]
+    # a run is as long as that with the first place of its lines, which others may go beyond
+    assert all(min_run <= x <= y or x == y == 0 for x, y in zip(got["deepest"], longest)) and got["deepest"].tolist()[-2:] == [10, 8]
+
+
 def test_long_lines(spark):
     """A passage of one line that documents share is a repeated run, too."""
     long, other = (" ".join(f"{c}{i}" for i in range(20)) for c in "pq")
