@@ -141,11 +141,16 @@ def _single_windows(strings: DataFrame, window: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for minimiser, key, packed, number in zip(*(b.column(k).to_pylist() for k in ("minimiser", "key", "packed", "id")), strict=True):
-                ws = packed.split(b" ")
-                digests = [hashlib.md5(b" ".join(ws[j : j + window])).digest() for j in range(len(ws) - window + 1)]
-                n = len(digests)
-                yield pa.RecordBatch.from_arrays([pa.array([minimiser] * n, pa.int64()), pa.array([key] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(digests, pa.binary()), pa.array([number] * n, pa.int64())], ["minimiser", "key", "skip", "digest", "id"])
+            for i in range(0, len(b), 1000):
+                part, digests, size = b.slice(i, 1000), [], []
+                for packed in part.column("packed").to_pylist():
+                    ws = packed.split(b" ")
+                    digests += [hashlib.md5(b" ".join(ws[j : j + window])).digest() for j in range(len(ws) - window + 1)]
+                    size.append(len(ws) - window + 1)
+                n = np.array(size)
+                take = pa.array(np.repeat(np.arange(len(n)), n))
+                skip = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([part.column("minimiser").take(take), part.column("key").take(take), pa.array(skip.astype(np.int32)), pa.array(digests, pa.binary()), part.column("id").take(take)], ["minimiser", "key", "skip", "digest", "id"])
 
     single = written(strings.mapInArrow(each, "minimiser long, key binary, skip int, digest binary, id long"), "single-windows")
     owner = single.groupBy("digest").agg(F.min("id").alias("owner"))
@@ -179,7 +184,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(*_keys(id_col, text_col))
     kmers = written(super_kmers(rows, window, run), "super-kmers")
     shared = kmers.groupBy("minimiser").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("minimiser")
-    wanted = kmers.join(shared, "minimiser", "left_semi").groupBy("id", "version").agg(F.collect_list(F.struct("minimiser", "start", "n")).alias("kmers"))
+    wanted = kmers.join(shared, "minimiser", "left_semi").groupBy("id", "version").agg(F.collect_set(F.struct("minimiser", "start", "n")).alias("kmers"))
     strings = _strings(rows.join(wanted, ["id", "version"]), window)
     placed = written(strings.withColumn("key", F.unhex(F.md5("packed"))), "placed-strings")
     dropped(kmers)
@@ -187,7 +192,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = distinct.groupBy("minimiser").count().where(F.col("count") > BUCKET).select("minimiser")
     owners = _sorted_buckets(distinct.join(hot, "minimiser", "left_anti"), window).unionByName(_single_windows(distinct.join(hot, "minimiser", "left_semi"), window))
     matched = placed.select("id", "version", "start", "minimiser", "key").join(owners, ["minimiser", "key"]).select("id", "version", "start", "skip", "owners")
-    return _spans(matched, window).groupBy("id", "version").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return _spans(matched, window).groupBy("id", "version").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -195,7 +200,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     Removed is each word in a window of so many words of its document (words split at ASCII white space) that also begins
     in a document with a smaller id; windows are judged on the input. Null and empty texts have no words (their kept text
-    is empty), shorter ones no window. Rows with one id don't count as copies of each other; a null id is larger than all.
+    is empty), shorter ones no window. Rows with one id (repeated rows, too) don't count as copies of each other; a null id is larger than all.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_keys(id_col, text_col))
     found = rows.join(duplicates(docs, id_col, text_col, window), ["id", "version"], "left").select("doc_id", "text", "spans")
