@@ -1,8 +1,8 @@
 """Packing by vector bin packing: a sequence has limits on tokens, segments and loss-bearing tokens at once.
 
 Of the pieces that fit into the open sequence, the one with the largest dot product of its demand and the sequence's
-remaining room (both as shares of the limits) is placed. Where none fits, the piece with the largest product is cut to
-the room that is left (with cut=False the sequence is closed instead). Each task packs its own rows, from a bounded pool.
+remaining room (both as shares of the limits) is placed. Where none fits, the piece of which most fits is cut to
+the room that is left, such as its prompt where no loss-bearing tokens have room (with cut=False the sequence is closed instead). Each task packs its own rows, from a bounded pool.
 """
 
 from __future__ import annotations
@@ -67,10 +67,16 @@ class Packer:
             if n < len(piece.ids) and not self.cut:
                 raise ValueError("an example is larger than the limits, and cut is False")
             whole, rest = piece.halves(n)
-            self.done([whole])
+            if n == self.limits.tokens:
+                self.done([whole])
+            else:  # as many loss-bearing tokens as a sequence takes: others' prompts fill it
+                self._hold(whole)
             if not len(rest.ids):
                 return
             piece = rest
+        self._hold(piece)
+
+    def _hold(self, piece: Piece) -> None:
         self.pool.append(piece)
         if len(self.pool) >= POOL:
             self.place(POOL // 2)
@@ -80,23 +86,26 @@ class Packer:
         pieces = self.pool
         need = np.array([[len(p.ids), 1, p.loss()] for p in pieces], np.int64).reshape(-1, 3)
         share = need / self.full
+        free = np.array([max(0, p.prompt - p.start) for p in pieces], np.int64)
         here = np.ones(len(pieces), bool)
         left = len(pieces)
         while left > keep:
             fits = here & (need <= self.room).all(1)
-            some = fits if fits.any() else here
-            at = np.flatnonzero(some)
-            k = int(at[np.argmax(share[at] @ (self.room / self.full))])
-            p = pieces[k]
-            if fits[k]:
-                self._put(p)
+            if fits.any():
+                at = np.flatnonzero(fits)
+                k = int(at[np.argmax(share[at] @ (self.room / self.full))])
+                self._put(pieces[k])
                 here[k] = False
                 left -= 1
-            elif self.cut and self.room[1] and (n := p.largest(int(self.room[0]), int(self.room[2]))):
-                first, pieces[k] = p.halves(n)
+                continue
+            part = np.minimum(np.minimum(need[:, 0], self.room[0]), free + self.room[2]) * here
+            k = int(np.argmax(part))
+            if self.cut and self.room[1] and part[k]:
+                first, pieces[k] = pieces[k].halves(int(part[k]))
                 self._put(first)
                 need[k] = len(pieces[k].ids), 1, pieces[k].loss()
                 share[k] = need[k] / self.full
+                free[k] = max(0, free[k] - part[k])
             else:
                 self._close()
         self.pool = [p for p, h in zip(pieces, here, strict=True) if h]
@@ -133,11 +142,11 @@ class Packer:
 SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, loss_tokens long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = 1, cut: bool = True, id_col: str = "doc_id", text_col: str = "text", prompt_words: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = 1, cut: bool = True, id_col: str = "doc_id", text_col: str = "text", prompt_words: Column | None = None, prompt_share: float = 0.0) -> DataFrame:
     """A row for each piece: which ids of which document stand where in which sequence.
 
-    prompt_words: how many of a text's first words (split at ASCII white space) bear no loss; none where it is not given
-    or null. A null text is empty: one piece with end_id alone. Repeated rows are packed once each; a null id is kept.
+    prompt_words: how many of a text's first words (split at ASCII white space) bear no loss; where it is not given or null,
+    that share of its first ids bears none (rounded down). A null text is empty: one piece with end_id alone. Repeated rows are packed once each; a null id is kept. Ties between pieces go to the one that came first.
     Other columns are left behind. An empty table gives no rows. Sequence ids are the number of the task, times 2**32,
     and a number in the task. Sequences shorter than the limit are padded by the reader, but those at a power of two.
     """
@@ -173,7 +182,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
             prompts = c.rows.column("prompt").to_pylist()
             for name, text, prompt, ids in zip(c.rows.column("doc_id").to_pylist(), texts, prompts, encoder.encode(texts, end_id), strict=True):
                 names[row], waiting[row] = name, len(ids)
-                free = len(encoder.encode([b" ".join(text.split()[:prompt])], end_id)[0]) - 1 if prompt else 0
+                free = len(encoder.encode([b" ".join(text.split()[:prompt])], end_id)[0]) - 1 if prompt is not None else int(prompt_share * len(ids))
                 packer.add(Piece(row, 0, ids, len(ids), free))
                 row += 1
             if made:
@@ -182,5 +191,5 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
         if made:
             yield rows()
 
-    prompt = F.coalesce(prompt_words.cast("long"), F.lit(0)) if prompt_words is not None else F.lit(0).cast("long")
+    prompt = F.greatest(prompt_words.cast("long"), F.lit(0)) if prompt_words is not None else F.lit(None).cast("long")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), prompt.alias("prompt")).mapInArrow(run, SCHEMA)

@@ -70,10 +70,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"q.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")])
 
 
+#: In op7 and the pipeline: the first quarter of a document's ids is its prompt, without loss; fewer loss-bearing tokens than tokens.
+LOSS_TOKENS, PROMPT_SHARE = 1664, 0.25
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sparklex.llm.packing import pack
+    from sparklex.llm.packing import Limits, pack
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), Limits(loss_tokens=LOSS_TOKENS), prompt_share=PROMPT_SHARE).drop("ids")
 
 
 def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparklex.llm import bytewords, components, decontamination, fmindex, lines, neardup, packing, quality, scoring, sharding, substrings, tokenfiles, warc
+from sparklex.llm import bytewords, components, decontamination, fmindex, lines, neardup, packing, quality, queries, scoring, sharding, substrings, tokenfiles, warc, wordids
 from sparklex.llm.queries import tokenizer_path
 
 LONG = " ".join(f"w{i % 97}x{i % 89}" for i in range(3000))
@@ -260,6 +260,61 @@ def test_scoring(docs, empty, most, monkeypatch):
     assert scoring.score(empty).count() == 0
 
 
+def test_binding_loss(spark):
+    """op7's limits over a whole table: loss-bearing tokens reach their limit in sequences that still fill up with prompts."""
+    got = queries.op7_packing(spark, "/root/testdata/sf0.001").toPandas()
+    s = got.groupby("sequence_id").agg(tokens=("length", "sum"), loss=("loss_tokens", "sum"), segments=("length", "size"))
+    assert s.tokens.max() <= 2048 and s.loss.max() == queries.LOSS_TOKENS and s.segments.max() <= 64
+    assert (s.loss == queries.LOSS_TOKENS).mean() > 0.2
+    padded = (2048 - s.tokens[(s.tokens & (s.tokens - 1)) > 0]).sum()
+    assert padded < 0.02 * s.tokens.sum()
+    for _, d in got.groupby("doc_id"):
+        free = d.doc_tokens.iloc[0] // 4
+        assert (d.loss_tokens == (d.start + d.length - d.start.clip(lower=free)).clip(lower=0)).all() and d.length.sum() == d.doc_tokens.iloc[0]
+
+
+def test_other_tokenizer():
+    """Of a tokenizer that parts words by the white space before them, whole texts are encoded."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    texts = [t or "" for t in TEXTS]
+    made = wordids.WordIds(path)
+    assert not made.by_words and wordids.WordIds(tokenizer_path()).by_words
+    want = [[*e.ids, 7] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in made.encode([t.encode() for t in texts], 7)] == want
+
+
+def test_repeated_rows(spark):
+    """Of rows that occur many times, each is judged as one row is, and work is in proportion to their number."""
+    one = [(1, COPY), (2, "x " + COPY), (None, COPY + " z")]
+    df = spark.createDataFrame(one * 40, "doc_id long, text string").repartition(3)
+    got = substrings.removed(df).groupBy("doc_id").agg(F.min("n_removed"), F.max("n_removed"), F.count("*")).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == {1: (0, 0, 40), 2: (70, 70, 40), None: (70, 70, 40)}
+    strings = substrings._strings(df.select(*substrings._keys("doc_id", "text")).join(substrings.super_kmers(df.select(*substrings._keys("doc_id", "text"))).groupBy("id", "version").agg(F.collect_set(F.struct("minimiser", "start", "n")).alias("kmers")), ["id", "version"]), 50)
+    assert strings.count() == 40 * strings.distinct().count()
+    found = sharding.shard(df, 2, bucket_bytes=2000).toPandas()
+    for _, s in found.groupby("shard"):
+        assert sorted(s.slot) == list(range(len(s)))
+
+
+def test_sharding_is_reproducible(spark):
+    """The law and the slots don't depend on partitions; the shards are what a comparison of all shards says."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    made = []
+    for partitions in (2, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        got = sharding.shard(df.repartition(partitions), 5, bucket_bytes=20_000).toPandas()
+        made.append({r.doc_id: (r.shard, r.slot, r.grown_shard) for r in got.itertuples()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert made[0] == made[1]
+    hashes = df.select("doc_id", *[F.xxhash64(F.lit(17), "doc_id", F.lit(s)).alias(str(s)) for s in range(6)]).toPandas().set_index("doc_id")
+    assert all(made[0][i][0] == int(hashes.loc[i, list("01234")].astype("int64").idxmax()) and made[0][i][2] == int(hashes.loc[i].astype("int64").idxmax()) for i in hashes.index)
+    # shuffled: within a shard, the order of slots isn't that of ids
+    first = [i for i, v in sorted(made[0].items(), key=lambda x: x[1][:2]) if v[0] == 0]
+    assert first != sorted(first)
+
+
 def test_sharding(docs, empty):
     got = sharding.shard(docs, 3, bucket_bytes=500).toPandas()
     assert len(got) == len(TEXTS)
