@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparklex.llm import decontamination, lines, neardup, packing, quality
-from sparklex.llm.queries import table, tokenizer_path
+from sparklex.llm.queries import LOSS_TOKENS, PROMPT_SHARE, table, tokenizer_path
 from sparklex.llm.scratch import written
 
 
@@ -37,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences, with their ids."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), packing.Limits(loss_tokens=LOSS_TOKENS), prompt_share=PROMPT_SHARE)
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("decontamination", decontaminate), ("packing", pack)]
