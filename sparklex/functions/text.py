@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
@@ -28,14 +29,18 @@ def _narrow_table() -> dict[int, str]:
 
 
 NARROW = _narrow_table()
+#: The other way round: each narrow form to its full-width one, two characters first.
+VOICED = {v: chr(k) for k, v in NARROW.items() if len(v) == 2}
+WIDE = {ord(v): k for k, v in sorted(NARROW.items(), reverse=True) if len(v) == 1}
+_VOICED = re.compile("|".join(map(re.escape, VOICED)))
 
 
 def normalize(text: str | None, nfkc: bool = True, width: str = "narrow", lower: bool = False) -> str | None:
-    """NFKC, then width folding ("narrow" or "keep"), then lower-casing; as texts and terms are both normalised."""
+    """NFKC, then width folding ("narrow", "wide" or "keep"), then lower-casing; as texts and terms are both normalised."""
     if text is None:
         return None
     text = unicodedata.normalize("NFKC", text) if nfkc else text
-    text = text.translate(NARROW) if width == "narrow" else text
+    text = text.translate(NARROW) if width == "narrow" else _VOICED.sub(lambda m: VOICED[m[0]], text).translate(WIDE) if width == "wide" else text
     return text.lower() if lower else text
 
 
@@ -47,7 +52,7 @@ def normalized(column: Column, nfkc: bool = True, width: str = "narrow", lower:
         for t in texts:
             yield t.map(lambda x: normalize(x, nfkc, width, lower), na_action="ignore")
 
-    ascii_only = F.octet_length(column) == F.length(column)
+    ascii_only = (F.octet_length(column) == F.length(column)) & F.lit(width != "wide")
     return F.when(ascii_only, F.lower(column) if lower else column).otherwise(slow(F.when(~ascii_only, column)))
 
 
@@ -66,10 +71,32 @@ def ngrams(text: str, n: int = 2, kanji: int = 0, cross: bool = True) -> list[st
     return list(out)
 
 
-def ngram_array(text: Column, n: int = 2) -> Column:
-    """The distinct n-grams of a text without ideographs of another size; empty where the text is shorter."""
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    return F.array_distinct(F.filter(every, lambda g: F.length(g) == n))
+#: An ideograph, as a regular expression.
+IDEOGRAPH = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in CJK) + "]"
+
+
+def ngram_array(text: Column, n: int = 2, kanji: int = 0, cross: bool = True) -> Column:
+    """The distinct n-grams of a text, as ngrams() has them; empty where the text is shorter, null where it is null.
+
+    The text is split into characters once, and n-grams of each place are put together from shifted copies of that array.
+    """
+    chars = F.split(text, "")
+    chars = F.filter(chars, lambda c: c != "")
+
+    def runs(size: int) -> Column:
+        out = chars
+        for k in range(1, size):
+            out = F.zip_with(F.slice(out, F.lit(1), F.greatest(F.size(chars) - k, F.lit(0))), F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - k, F.lit(0))), lambda a, b: F.concat(a, b))
+        return out
+
+    if kanji in (0, n):
+        every = runs(n)
+    else:
+        both = F.arrays_zip(chars.alias("c"), runs(n).alias("other"), runs(kanji).alias("own"))
+        every = F.filter(F.transform(both, lambda x: F.when(x["c"].rlike(IDEOGRAPH), x["own"]).otherwise(x["other"])), lambda g: g.isNotNull())
+    if not cross:
+        every = F.filter(every, lambda g: g.rlike(f"^(?:{IDEOGRAPH}+|[^{IDEOGRAPH[1:]}+)$"))
+    return F.array_distinct(every)
 
 
 def all_of(columns: list[Column], empty: bool = True) -> Column:

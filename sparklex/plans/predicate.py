@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from decimal import Decimal, InvalidOperation
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparklex.functions.text import all_of, any_of, fuzzy_word, has, has_ngrams, is_cjk, ngrams, normalize
-from sparklex.plans.spec import Both, Either, Expression, Filter, Not, Query, TableSpec, Term
+from sparklex.functions.values import decimal, epoch, integer, number
+from sparklex.plans.spec import Both, Either, Expression, Filter, Not, Query, Required, TableSpec, Term
 
 NEAR = 1e-9  # doubles that differ by less are equal
 
@@ -28,14 +29,20 @@ def _literal(value: str, kind: T.DataType) -> object | None:
         return value
     if isinstance(kind, T.BooleanType):
         return value in ("1", "true")
-    try:
-        if isinstance(kind, (T.DoubleType, T.FloatType)):
-            return float(value)
-        if isinstance(kind, T.DecimalType):
-            return Decimal(value)
-        return int(value) if value.strip() == value and "_" not in value else None  # whole numbers, times in seconds
-    except (ValueError, InvalidOperation):
-        return None
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return number(value)
+    if isinstance(kind, T.DecimalType):
+        return decimal(value, kind)
+    return integer(value, kind)  # whole numbers, times in seconds
+
+
+def seconds(c: Column, kind: T.DataType) -> Column:
+    """A time column as seconds since 1970; times without a zone count as UTC. Other columns as they are."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.date_trunc("second", c).cast("timestamp_ntz"))
+    if isinstance(kind, T.DateType):
+        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long") * 86400
+    return F.unix_timestamp(c) if isinstance(kind, T.TimestampType) else c
 
 
 def compare(f: Filter, schema: T.StructType) -> Column:
@@ -47,23 +54,38 @@ def compare(f: Filter, schema: T.StructType) -> Column:
     value = _literal(f.value, kind)
     if value is None:
         return F.lit(False)
-    if isinstance(kind, T.TimestampType):
-        c = F.unix_timestamp(c)
-    number = isinstance(kind, (T.DoubleType, T.FloatType))
+    c = seconds(c, kind)
+    near = isinstance(kind, (T.DoubleType, T.FloatType))
     v = F.lit(value)
-    equal = (F.abs(c - v) < NEAR) if number else (c == v)
+    equal = (F.abs(c - v) < NEAR) if near else (c == v)
     got = {"=": equal, "!=": ~F.coalesce(equal, F.lit(False)), ">": c > v, ">=": c >= v, "<": c < v, "<=": c <= v}[f.op]
     return F.coalesce(got, F.lit(False))
 
 
+def required(f: Filter | Required, schema: T.StructType, offset: str = "+00:00") -> Column:
+    """Whether a row may get into a table. It fails closed: nulls (but for IS NULL), unknown columns and values that the type hasn't let no row in.
+
+    Columns of times take seconds or dates, and texts on them compare as such.
+    """
+    name = resolve(f.column, schema.fieldNames())
+    if name is None:
+        return F.lit(False)
+    c, kind = F.col(f"`{name}`"), schema[name].dataType
+    if f.op in ("IS NULL", "IS NOT NULL"):
+        return c.isNull() if f.op == "IS NULL" else c.isNotNull()
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        c, v = seconds(c, kind), epoch(F.lit(f.value), offset)
+        got = {"=": c == v, "!=": c != v, ">": c > v, ">=": c >= v, "<": c < v, "<=": c <= v}[f.op]
+        return F.coalesce(got, F.lit(False))
+    return c.isNotNull() & compare(Filter(f.column, f.op, f.value), schema)
+
+
 class Compiler:
     """The predicate of queries on one table; text is its column of normalised texts."""
 
     def __init__(self, spec: TableSpec, schema: T.StructType, synonyms: dict[str, tuple[str, ...]] | None = None, text: str = "norm_text"):
         self.spec, self.schema, self.synonyms, self.text = spec, schema, synonyms or {}, F.col(text)
-
-    def norm(self, term: str) -> str:
-        return normalize(term, self.spec.nfkc, self.spec.width, self.spec.lower)
+        self.norm = partial(normalize, nfkc=spec.nfkc, width=spec.width, lower=spec.lower)
 
     def group(self, term: str) -> tuple[str, ...]:
         t = self.norm(term)
@@ -116,21 +138,29 @@ class Compiler:
         step = k if 2 * short > len(grams) else n
         return self.grams(t, max(1, len(grams) - d * step))
 
-    def predicate(self, q: Query) -> Column:
-        parts: list[Column] = []
+    def stages(self, q: Query) -> list[tuple[str, Column]]:
+        """What a query asks of a row, in order: terms, exclusions (by n-grams only, never verified), filters, verification."""
+        leaf = (lambda t: self.fuzzy(t, q.fuzzy)) if q.fuzzy else self.matches
         terms = list(q.terms)
+        wanted = [leaf(t) for t in q.terms]
         if q.expression is not None:
-            parts.append(self.expression(q.expression, (lambda t: self.fuzzy(t, q.fuzzy)) if q.fuzzy else self.matches))
+            wanted.insert(0, self.expression(q.expression, leaf))
             terms += q.expression.terms(False)
-        leaf = (lambda t: self.fuzzy(t, q.fuzzy)) if q.fuzzy else self.matches
-        parts += [leaf(t) for t in q.terms]
-        parts += [~self.matches(t) for t in q.none]  # by n-grams only, never verified
-        parts += [compare(f, self.schema) for f in q.filters]
+        parts = [("terms", all_of(wanted)), ("exclusions", all_of([~self.matches(t) for t in q.none])), ("filters", all_of([compare(f, self.schema) for f in q.filters]))]
         if terms and self.verified(terms):
             exact = (lambda t: has(self.text, self.norm(t)) | fuzzy_word(self.text, self.norm(t), q.fuzzy)) if q.fuzzy else self.contains
             checks = [exact(t) for t in q.terms] + ([self.expression(q.expression, exact)] if q.expression is not None else [])
-            parts.append(F.isnull(self.text) | all_of(checks))
-        return all_of(parts)
+            parts.append(("verification", F.isnull(self.text) | all_of(checks)))
+        return parts
+
+    def predicate(self, q: Query) -> Column:
+        return all_of([c for _, c in self.stages(q)])
 
     def score_terms(self, q: Query) -> list[str]:
         return [self.norm(t) for t in [*q.terms, *(q.expression.terms() if q.expression is not None else [])]]
+
+    def highlight_terms(self, q: Query) -> list[str]:
+        """The terms, what white space parts in them, and their synonyms."""
+        every = [*q.terms, *(q.expression.terms() if q.expression is not None else [])]
+        variants = {v for t in every for v in (self.norm(t), *self.group(t))}
+        return sorted({x for v in variants for x in (v, *v.split()) if x})

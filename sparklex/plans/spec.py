@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 
 MODES = ("off", "ascii", "all")
-OPS = {"=": "=", "==": "=", "EQ": "=", "!=": "!=", "<>": "!=", "NE": "!=", ">": ">", "GT": ">", ">=": ">=", "GTE": ">=", "<": "<", "LT": "<", "<=": "<=", "LTE": "<="}
+WIDTHS = ("keep", "narrow", "wide")
+OPS = {"=": "=", "==": "=", "EQ": "=", "!=": "!=", "<>": "!=", "NE": "!=", ">": ">", "GT": ">", ">=": ">=", "≥": ">=", "GTE": ">=", "<": "<", "LT": "<", "<=": "<=", "≤": "<=", "LTE": "<="}
+NULL_OPS = ("IS NULL", "IS NOT NULL")
 MOST_TERMS, MOST_LIMIT, MOST_VALUE_BYTES = 64, 1000, 1024
 
 
@@ -73,6 +75,21 @@ class Filter:
         object.__setattr__(self, "op", OPS[self.op.upper()])
 
 
+@dataclass(frozen=True)
+class Required:
+    """A rule that rows must pass to get into a table; unlike filters of queries, it also asks for nulls and takes dates."""
+
+    column: str
+    op: str
+    value: str = ""
+
+    def __post_init__(self) -> None:
+        op = " ".join(self.op.upper().split())
+        if op not in NULL_OPS and op not in OPS:
+            raise ValueError(f"no such operator: {self.op}")
+        object.__setattr__(self, "op", OPS.get(op, op))
+
+
 @dataclass(frozen=True)
 class Highlight:
     open: str = "<em>"
@@ -80,6 +97,12 @@ class Highlight:
     snippet_len: int = 100
     max_fragments: int = 3
 
+    def __post_init__(self) -> None:
+        if max(len(self.open.encode()), len(self.close.encode())) > 256:
+            raise ValueError("a tag is longer than 256 bytes")
+        if not 1 <= self.snippet_len <= 10_000 or not 1 <= self.max_fragments <= 100:
+            raise ValueError("snippet_len or max_fragments is out of range")
+
 
 @dataclass(frozen=True)
 class TableSpec:
@@ -96,11 +119,28 @@ class TableSpec:
     nfkc: bool = True
     width: str = "narrow"
     lower: bool = False
-    required: tuple[Filter, ...] = ()
+    required: tuple[Filter | Required, ...] = ()
+    types: tuple[tuple[str, str], ...] = ()  # of filter columns that come as texts, see functions.values.typed
+    unique: bool = False  # whether a key that occurs twice is an error
 
     def __post_init__(self) -> None:
         if self.verify not in MODES:
             raise ValueError(f"verify is none of {MODES}")
+        if self.width not in WIDTHS:
+            raise ValueError(f"width is none of {WIDTHS}")
+        if self.n < 1 or self.kanji < 0 or not self.key or not self.text:
+            raise ValueError("a table needs a key, text columns and n-grams of one character at least")
+
+    @classmethod
+    def from_dict(cls, body: dict) -> TableSpec:
+        """From the JSON form; unknown names are errors."""
+        required = tuple(Required(r["column"], r["op"], str(r.get("value", ""))) for r in body.get("required", ()))
+        lists = {k: tuple(body[k]) for k in ("text", "filters") if k in body}
+        return cls(**{**body, **lists, "required": required, "types": tuple(sorted(body.get("types", {}).items()))})
+
+    def to_dict(self) -> dict:
+        required = [{"column": r.column, "op": r.op, "value": r.value} for r in self.required]
+        return {**{f.name: getattr(self, f.name) for f in fields(self)}, "text": list(self.text), "filters": list(self.filters), "required": required, "types": dict(self.types)}
 
 
 @dataclass(frozen=True)
@@ -132,15 +172,22 @@ class Query:
 
     @classmethod
     def from_dict(cls, body: dict) -> Query:
-        """From the JSON form: q, all, none, filters ({column: value} or {column: {op, value}}), sort, limit, offset, fuzzy, highlight."""
+        """From the JSON form: q, mode (literal, or boolean: q is an expression), all, none, filters ({column: value} or {column: {op, value}}), sort, limit, offset, fuzzy, highlight."""
 
         def text_of(v: object) -> str:
             return ("1" if v else "0") if isinstance(v, bool) else f"{v:.6f}" if isinstance(v, float) else str(v)
 
         filters = tuple(Filter(c, v.get("op", "="), text_of(v["value"])) if isinstance(v, dict) else Filter(c, "=", text_of(v)) for c, v in body.get("filters", {}).items())
         sort = body.get("sort") or {}
+        q, expression = body.get("q"), None
+        if body.get("mode", "literal") not in ("literal", "boolean"):
+            raise ValueError("mode is literal or boolean")
+        if body.get("mode") == "boolean" and q is not None:
+            from sparklex.plans.language import boolean
+
+            q, expression = None, boolean(q)
         return cls(
-            text=body.get("q"), all=tuple(body.get("all", ())), none=tuple(body.get("none", ())), filters=filters, fuzzy=body.get("fuzzy", 0), sort=sort.get("column"), ascending=sort.get("order", "desc").lower() == "asc",
+            text=q, expression=expression, all=tuple(body.get("all", ())), none=tuple(body.get("none", ())), filters=filters, fuzzy=body.get("fuzzy", 0), sort=sort.get("column"), ascending=sort.get("order", "desc").lower() == "asc",
             limit=body.get("limit", 100), offset=body.get("offset", 0), highlight=Highlight(**body["highlight"]) if body.get("highlight") else None,
         )
 
