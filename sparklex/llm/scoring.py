@@ -1,10 +1,12 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax, beside a unigram base.
 
-P(word | history) = P(class | history) * P(word | class). Classes are groups of frequent words that follow alike words; all
-other words are one class. The class's softmax has weights for hashed features: the word before, the word before that (a
-skip feature) and the pair of both. Each task goes over its part of the training documents in sparse batches of gradient
-updates (AdaGrad) from common weights; the tasks' weights are averaged, each row of them by how often the task used it.
-Within a class, words have their smoothed share of the class's count.
+P(word | history) = P(class | history) * P(word | class, history). Classes are groups of frequent words that follow alike
+words, of about equal size; all other words are one more class. Both factors are softmaxes with weights for hashed features:
+the word before, the word before that (a skip feature) and the pair of both; in the second factor the class is hashed with
+them. In the class of all other words, each has its smoothed share of their count, whatever the history. Each task goes over its
+part of the training documents in sparse batches of gradient updates (AdaGrad) from common weights; the tasks' weights are
+averaged, each row of them by how often the task used it, and the next pass starts from there. The number of hashed rows grows with
+the distinct words, up to a bound that is a worker's memory.
 
 Counts of all training words are kept as a table. Words with the highest counts, as many as a bound allows, are sent to the
 tasks; the others meet their counts in a join, so that every word's count is exact whatever the vocabulary's size.
@@ -24,10 +26,12 @@ from pyspark.sql import functions as F
 from sparklex.llm.bytewords import Chunk, chunks, mix, random64, words
 from sparklex.llm.scratch import written
 
-#: Most words whose counts tasks get; words with classes; classes; words before them that they are classed by.
-FREQUENT, CLASSED, CLASSES, CONTEXTS = 1 << 18, 4096, 16, 64
-#: Rows of weights that features are hashed to, kinds of features, tokens of a batch, step size, blocks that weights travel in.
-ROWS, KINDS, BATCH, STEP, BLOCKS = 1 << 14, 3, 1 << 15, 0.3, 64
+#: Most words whose counts tasks get; words with classes; classes (the first is of all other words); words before them that they are classed by.
+FREQUENT, CLASSED, CLASSES, CONTEXTS = 1 << 18, 4032, 64, 128
+#: Least and greatest number of bits of hashed rows; distinct words for each row.
+LEAST_BITS, MOST_BITS, WORDS_A_ROW = 14, 17, 16
+#: Kinds of features, tokens of a batch, step size (a pass's share), passes, blocks that weights travel in, input partitions of a training task.
+KINDS, BATCH, STEP, PASSES, BLOCKS, PARTS = 3, 1 << 15, 0.3, 2, 64, 8
 #: Added to each count, also that of one word for all that weren't seen.
 ADDED = 0.1
 END, BEGIN = random64(2, 11)
@@ -48,10 +52,17 @@ class Model:
     counts: Counts
     words: np.ndarray  # sorted hashes of classed words
     class_of: np.ndarray  # of each, from 1; 0 is the class of all others
-    log_share: np.ndarray  # log10 of its share of its class
+    place: np.ndarray  # of each in its class
     log_rest: float  # log10 of the others' total, with what is added
-    bias: np.ndarray
+    bits: int
+    bias: np.ndarray  # of classes
+    inner_bias: np.ndarray  # a row for each class: of its words
     weights: np.ndarray
+    inner: np.ndarray
+
+    def classes(self, at: np.ndarray) -> np.ndarray:
+        """Of words by their place among the classed ones, -1 for others."""
+        return np.where(at >= 0, self.class_of[at] if len(self.class_of) else 0, 0)
 
 
 def tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -127,10 +138,10 @@ def frequent(counts: DataFrame, most: int = FREQUENT) -> Counts:
     steps = counts.groupBy(level).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).orderBy(F.desc("level")).toPandas()
     fits = steps["words"].cumsum() <= most
     least = int(steps["level"][fits].min()) if fits.any() else 1 << 30
-    table = counts.where(level >= least).toPandas()
-    h = table["word"].to_numpy(np.int64).view(np.uint64)
+    table = counts.where(level >= least).select("word", "n").toArrow()
+    h = table.column("word").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return Counts(h[order], table["n"].to_numpy(np.int64)[order], int(steps["tokens"].sum()), int(steps["words"].sum()))
+    return Counts(h[order], table.column("n").to_numpy()[order], int(steps["tokens"].sum()), int(steps["words"].sum()))
 
 
 def classed(train: DataFrame, counts: Counts, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -151,38 +162,58 @@ def classed(train: DataFrame, counts: Counts, seed: int = 7) -> tuple[np.ndarray
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    found = train.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSED * CONTEXTS
-    seen = np.zeros(len(own) * len(leads))
-    seen[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(float)
-    seen = np.sqrt((seen.reshape(len(own), -1) + 0.02) / (seen.reshape(len(own), -1) + 0.02).sum(1, keepdims=True)) if len(own) else seen.reshape(0, max(1, len(leads)))
+    found = train.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CLASSED * CONTEXTS
+    seen = np.full(len(own) * len(leads), 0.02)
+    seen[found.column("cell").to_numpy()] += found.column("n").to_numpy()
+    seen = seen.reshape(len(own), len(leads))
+    seen = np.sqrt(seen / seen.sum(1, keepdims=True)) if seen.size else seen
     return own, 1 + _grouped(seen, counts.counts[best], CLASSES - 1, seed)
 
 
 def _grouped(x: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Weighted k-means; the first centres are the heaviest rows."""
+    """Weighted k-means into groups of no more than their mean size; the first centres are the heaviest rows."""
     if len(x) <= k:
         return np.arange(len(x))
     rng = np.random.default_rng(seed)
     root = np.sqrt(weight.astype(float))
-    centre = x[np.argsort(-weight, kind="stable")[:k]].copy()
+    order = np.argsort(-weight, kind="stable")
+    centre = x[order[:k]].copy()
     for _ in range(12):
-        group = np.argmax(x @ centre.T - (centre**2).sum(1) / 2, 1)
+        near = x @ centre.T - (centre**2).sum(1) / 2
+        group = np.argmax(near, 1)
         for j in range(k):
             mine = group == j
             centre[j] = np.average(x[mine], axis=0, weights=root[mine]) if mine.any() else x[rng.integers(len(x))]
-    return np.argmax(x @ centre.T - (centre**2).sum(1) / 2, 1)
+    near = x @ centre.T - (centre**2).sum(1) / 2
+    room = np.full(k, -(-len(x) // k))
+    for i in order.tolist():  # heavy words choose first
+        j = int(np.argmax(np.where(room > 0, near[i], -np.inf)))
+        group[i] = j
+        room[j] -= 1
+    return group
 
 
 def features(t: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The rows of weights of each token's features."""
+    """Hashes of each token's features."""
     one, two = before(t, first, 1), before(t, first, 2)
-    out = np.empty((len(t), KINDS), np.uint16)
+    out = np.empty((len(t), KINDS), np.uint64)
     for k, x in enumerate((one ^ np.uint64(1), two ^ np.uint64(2), mix(two ^ np.uint64(3)) + one)):
-        out[:, k] = mix(x) >> np.uint64(64 - 14)
+        out[:, k] = mix(x)
     return out
 
 
+def outer_rows(h: np.ndarray, bits: int) -> np.ndarray:
+    """The rows of the classes' weights."""
+    return (h >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def inner_rows(h: np.ndarray, classes: np.ndarray, bits: int) -> np.ndarray:
+    """The rows of the words' weights, for these classes."""
+    return (mix(h + classes.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
+
+
 def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """bias: one for all, or a row for each."""
     out = weights[rows[:, 0]] + bias
     for k in range(1, rows.shape[1]):
         out += weights[rows[:, k]]
@@ -191,39 +222,65 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.n
     return out
 
 
-def trained(train: DataFrame, own: np.ndarray, class_of: np.ndarray, bias: np.ndarray, passes: int = 1) -> np.ndarray:
-    """The weights after so many passes of the tasks over the training documents, averaged after each."""
-    weights = np.zeros((ROWS, CLASSES), np.float32)
+class Trainer:
+    """Weights of one softmax in a task, and how often each row was used."""
+
+    def __init__(self, weights: np.ndarray, step: float):
+        self.w, self.step = weights.copy(), step
+        self.used = np.zeros(len(weights), np.float32)
+        self.squares = np.full(weights.shape, 1e-2, np.float32)
+
+    def learn(self, bias: np.ndarray, rows: np.ndarray, gold: np.ndarray) -> None:
+        g = np.exp(log_softmax(self.w, bias, rows))
+        g[np.arange(len(gold)), gold] -= 1
+        flat = rows.ravel()
+        order = np.argsort(flat, kind="stable")
+        of = flat[order]
+        edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        row, n = of[edge], np.diff(np.append(edge, len(of)))
+        step = np.add.reduceat(g[order // KINDS], edge, axis=0) / np.sqrt(n)[:, None].astype(np.float32)
+        self.squares[row] += step * step
+        self.w[row] -= self.step * step / np.sqrt(self.squares[row])
+        self.used[row] += n
+
+    def blocks(self) -> Iterator[tuple[int, bytes]]:
+        each = len(self.w) // BLOCKS
+        for b in range(BLOCKS):
+            part = slice(b * each, (b + 1) * each)
+            if self.used[part].any():
+                yield b, np.concatenate((self.w[part] * self.used[part, None], self.used[part, None]), 1).astype("<f4").tobytes()
+
+
+def trained(train: DataFrame, m: Model, passes: int = PASSES) -> None:
+    """Sets the model's weights, after so many passes of the tasks over the training documents, averaged after each.
+
+    What a task sends and the driver gets is as large as the weights, so tasks take PARTS partitions of input each.
+    """
+    spark = train.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, train.rdd.getNumPartitions() // PARTS)
+
+    def one_pass(step: float) -> DataFrame:
+        start = spark.sparkContext.broadcast(m)
 
-    def one_pass(start: np.ndarray) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w, used, squares = start.copy(), np.zeros(ROWS, np.float32), np.full((ROWS, CLASSES), 1e-2, np.float32)
+            model = start.value
+            outer, inner = Trainer(model.weights, step), Trainer(model.inner, step)
             for c in chunks(batches):
                 t, first = tokens(c)
-                at = find(own, t)
-                gold = np.where(at >= 0, class_of[at] if len(class_of) else 0, 0)
-                rows = features(t, first)
+                at = find(model.words, t)
+                gold = model.classes(at)
+                h = features(t, first)
                 for i in range(0, len(t), BATCH):
-                    part, goal = rows[i : i + BATCH], gold[i : i + BATCH]
-                    g = np.exp(log_softmax(w, bias, part))
-                    g[np.arange(len(goal)), goal] -= 1
-                    flat = part.ravel()
-                    order = np.argsort(flat, kind="stable")
-                    of = flat[order]
-                    edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-                    row, n = of[edge], np.diff(np.append(edge, len(of)))
-                    step = np.add.reduceat(g[order // KINDS], edge, axis=0) / np.sqrt(n)[:, None].astype(np.float32)
-                    squares[row] += step * step
-                    w[row] -= STEP * step / np.sqrt(squares[row])
-                    used[row] += n
-            each = ROWS // BLOCKS
-            for b in range(BLOCKS):
-                part = slice(b * each, (b + 1) * each)
-                if used[part].any():
-                    blob = np.concatenate((w[part] * used[part, None], used[part, None]), 1).astype("<f4").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["block", "sums"])
-
-        return train.mapInArrow(run, "block int, sums binary")
+                    outer.learn(model.bias, outer_rows(h[i : i + BATCH], model.bits), gold[i : i + BATCH])
+                some = np.flatnonzero(gold)
+                for i in range(0, len(some), BATCH):
+                    k = some[i : i + BATCH]
+                    inner.learn(model.inner_bias[gold[k]], inner_rows(h[k], gold[k], model.bits), model.place[at[k]])
+            for which, x in enumerate((outer, inner)):
+                for b, blob in x.blocks():
+                    yield pa.RecordBatch.from_arrays([pa.array([which * BLOCKS + b], pa.int32()), pa.array([blob], pa.binary())], ["block", "sums"])
+
+        return train.coalesce(tasks).mapInArrow(run, "block int, sums binary")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -234,13 +291,14 @@ def trained(train: DataFrame, own: np.ndarray, class_of: np.ndarray, bias: np.nd
         for block, x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.astype("<f4").tobytes()], pa.binary())], ["block", "sums"])
 
-    for _ in range(passes):
-        for block, blob in one_pass(weights).repartition("block").mapInArrow(summed, "block int, sums binary").collect():  # BLOCKS rows
-            x = np.frombuffer(bytes(blob), "<f4").reshape(-1, CLASSES + 1)
+    for k in range(passes):
+        sums = one_pass(STEP / (1 + k)).repartition(BLOCKS, "block").mapInArrow(summed, "block int, sums binary").toArrow()  # 2 * BLOCKS rows
+        for block, blob in zip(sums.column("block").to_pylist(), sums.column("sums"), strict=True):
+            into = m.inner if block >= BLOCKS else m.weights
+            x = np.frombuffer(blob.as_buffer(), "<f4").reshape(-1, into.shape[1] + 1)
             some = x[:, -1] > 0
-            rows = np.arange(block * len(x), (block + 1) * len(x))[some]
-            weights[rows] = x[some, :-1] / x[some, -1:]
-    return weights
+            rows = np.arange(block % BLOCKS * len(x), (block % BLOCKS + 1) * len(x))[some]
+            into[rows] = x[some, :-1] / x[some, -1:]
 
 
 def fit(train: DataFrame, counts: Counts) -> Model:
@@ -250,8 +308,33 @@ def fit(train: DataFrame, counts: Counts) -> Model:
     rest = counts.tokens + ADDED * (counts.distinct + 1) - n.sum()
     total[0] = rest
     bias = np.log(np.maximum(total, ADDED) / np.maximum(total, ADDED).sum()).astype(np.float32)
-    weights = trained(train, own, class_of, bias)
-    return Model(counts, own, class_of, np.log10(n / total[class_of]) if len(own) else n, float(np.log10(rest)), bias, weights)
+    order = np.argsort(class_of, kind="stable")
+    sizes = np.bincount(class_of, minlength=CLASSES)
+    place = np.empty(len(own), np.int64)
+    place[order] = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    inner_bias = np.full((CLASSES, max(1, int(sizes.max(initial=0)))), -1e4, np.float32)
+    inner_bias[class_of, place] = np.log(n / total[class_of])
+    bits = min(MOST_BITS, max(LEAST_BITS, int(counts.distinct // WORDS_A_ROW).bit_length()))
+    weights, inner = np.zeros((1 << bits, CLASSES), np.float32), np.zeros((1 << bits, inner_bias.shape[1]), np.float32)
+    model = Model(counts, own, class_of, place, float(np.log10(rest)), bits, bias, inner_bias, weights, inner)
+    trained(train, model)
+    return model
+
+
+def log_probability(m: Model, t: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log10 of each token's probability; of a word without class, only the part that its class has."""
+    at = find(m.words, t)
+    classes = m.classes(at)
+    h = features(t, first)
+    out = np.empty(len(t))
+    for i in range(0, len(t), BATCH):
+        part = classes[i : i + BATCH]
+        out[i : i + BATCH] = log_softmax(m.weights, m.bias, outer_rows(h[i : i + BATCH], m.bits))[np.arange(len(part)), part]
+    some = np.flatnonzero(classes)
+    for i in range(0, len(some), BATCH):
+        k = some[i : i + BATCH]
+        out[k] += log_softmax(m.inner, m.inner_bias[classes[k]], inner_rows(h[k], classes[k], m.bits))[np.arange(len(k)), m.place[at[k]]]
+    return out / np.log(10)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,7 +350,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     train = rows.where("NOT held_out").select("text")
     table = written(count_words(train), "word-counts")
     counts = frequent(table)
-    model = spark.sparkContext.broadcast(fit(train, counts))  # of bounded size: FREQUENT, CLASSED, ROWS * CLASSES
+    model = spark.sparkContext.broadcast(fit(train, counts))  # of bounded size: FREQUENT, CLASSED, MOST_BITS
     log_all = float(np.log10(counts.tokens + ADDED * (counts.distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,17 +358,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         log_count = np.log10(m.counts.counts + ADDED)
         for c in chunks(batches):
             t, first = tokens(c)
-            own = find(m.words, t)
-            classes = np.where(own >= 0, m.class_of[own] if len(m.words) else 0, 0)
-            logp = np.empty(len(t))
-            rows = features(t, first)
-            for i in range(0, len(t), BATCH):
-                part = classes[i : i + BATCH]
-                logp[i : i + BATCH] = log_softmax(m.weights, m.bias, rows[i : i + BATCH])[np.arange(len(part)), part]
-            logp *= 1 / np.log(10)
+            logp = log_probability(m, t, first)
             at = find(m.counts.hashes, t)
             count = np.where(at >= 0, log_count[at] if len(log_count) else 0, 0)
-            logp += np.where(own >= 0, m.log_share[own] if len(m.words) else 0, count - m.log_rest)
+            logp += np.where(find(m.words, t) >= 0, 0, count - m.log_rest)
             text = np.repeat(np.arange(len(c)), np.diff(first))
             rare = np.flatnonzero(at < 0)
             order = np.lexsort((t[rare], text[rare]))

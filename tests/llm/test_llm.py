@@ -260,6 +260,34 @@ def test_scoring(docs, empty, most, monkeypatch):
     assert scoring.score(empty).count() == 0
 
 
+def test_probabilities_sum_to_one(spark, monkeypatch):
+    """After any history, the classed words and the class of all others have probability one together."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(scoring, "CLASSED", 40)
+    monkeypatch.setattr(scoring, "CLASSES", 6)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in np.minimum(rng.geometric(0.05, 200), 90)) for _ in range(20)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    m = scoring.fit(train, scoring.frequent(scoring.count_words(train)))
+    assert m.weights.any() and m.inner.any() and (np.bincount(m.class_of)[1:] <= 8).all()
+    for history in ("w1 w2", "w7", "never w1"):
+        (c,) = bytewords.chunks(iter([pa.RecordBatch.from_arrays([pa.array([history])], ["text"])]))
+        before = scoring.tokens(c)[0][:-1]
+        nexts = np.append(m.words, np.uint64(12345))  # the last is of the class of all others
+        t = np.concatenate([np.append(before, x) for x in nexts])
+        logp = scoring.log_probability(m, t, np.arange(len(nexts) + 1) * (len(before) + 1))
+        assert abs((10 ** logp.reshape(len(nexts), -1)[:, -1]).sum() - 1) < 1e-4
+
+
+def test_scoring_learns(spark):
+    """The model beats the base on held-out texts, whatever the partitions."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for partitions in (1, 5):
+        got = scoring.score(df.repartition(partitions, "doc_id")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        assert got[0] > got[1] + 0.1 * got[2]
+
+
 def test_binding_loss(spark):
     """op7's limits over a whole table: loss-bearing tokens reach their limit in sequences that still fill up with prompts."""
     got = queries.op7_packing(spark, "/root/testdata/sf0.001").toPandas()
