@@ -29,9 +29,9 @@ from sparklex.llm.scratch import written
 #: Most words whose counts tasks get; words with classes; classes (the first is of all other words); words before them that they are classed by.
 FREQUENT, CLASSED, CLASSES, CONTEXTS = 1 << 18, 4032, 64, 128
 #: Least and greatest number of bits of hashed rows; distinct words for each row.
-LEAST_BITS, MOST_BITS, WORDS_A_ROW = 14, 17, 16
+LEAST_BITS, MOST_BITS, WORDS_A_ROW = 13, 17, 128
 #: Kinds of features, tokens of a batch, step size (a pass's share), passes, blocks that weights travel in, input partitions of a training task.
-KINDS, BATCH, STEP, PASSES, BLOCKS, PARTS = 3, 1 << 15, 0.3, 2, 64, 8
+KINDS, BATCH, STEP, PASSES, BLOCKS, PARTS = 3, 1 << 13, 0.3, 2, 64, 8
 #: Added to each count, also that of one word for all that weren't seen.
 ADDED = 0.1
 END, BEGIN = random64(2, 11)
@@ -231,7 +231,12 @@ class Trainer:
         self.squares = np.full(weights.shape, 1e-2, np.float32)
 
     def learn(self, bias: np.ndarray, rows: np.ndarray, gold: np.ndarray) -> None:
-        g = np.exp(log_softmax(self.w, bias, rows))
+        g = self.w[rows[:, 0]] + bias
+        for k in range(1, KINDS):
+            g += self.w[rows[:, k]]
+        g -= g.max(1, keepdims=True)
+        np.exp(g, out=g)
+        g /= g.sum(1, keepdims=True)
         g[np.arange(len(gold)), gold] -= 1
         flat = rows.ravel()
         order = np.argsort(flat, kind="stable")
