@@ -2,7 +2,7 @@
 
 That is so where its file has the normaliser and the splitter given here, and no added token with white space; the whole
 texts go through any other tokenizer. Such a tokenizer's ids of a text are the ids of its words, one after the other, so each distinct word of a task is
-encoded by the library once (or again, when the bounded store of words was emptied). A word of Latin letters and then
+encoded by the library once (or again, if it left the bounded store of words). A word of Latin letters and then
 punctuation has the ids of the two, as the tokenizer parts them too. Its letters need neither normalising nor parting:
 in small letters and as byte symbols they go to the library's model at once. All other words go through the whole tokenizer.
 """
@@ -17,8 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words and bytes that a worker keeps; bytes of objects and of their place in the store, as measured, beside a word's own.
-KEPT_WORDS, KEPT_BYTES, ENTRY_BYTES = 200_000, 32 << 20, 150
+#: Words and bytes of a worker's store before it becomes the old one; bytes of objects and of their place there, as measured, beside a word's own.
+KEPT_WORDS, KEPT_BYTES, ENTRY_BYTES = 250_000, 40 << 20, 150
 
 #: Precomposed Latin letters (but the one whose small letter is two characters), then ASCII punctuation but the apostrophe (which can begin a contraction).
 PARTS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
@@ -58,6 +58,7 @@ class WordIds:
         self.model = self.tokenizer.model
         self.by_words = by_words(self.tokenizer)
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}  # the store before: words that are met again come back from it
         self.bytes = 0
 
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
@@ -68,9 +69,14 @@ class WordIds:
             return [np.frombuffer(array("I", e.ids).tobytes() + end, "<u4") for e in every]
         words = [t.split() for t in texts]
         if len(self.known) > KEPT_WORDS or self.bytes > KEPT_BYTES:
-            self.known.clear()
-            self.bytes = 0
-        self._add(set().union(*words).difference(self.known))
+            self.old, self.known, self.bytes = self.known, {}, 0
+        new = set().union(*words).difference(self.known)
+        if self.old:
+            again = new.intersection(self.old)
+            for w in again:
+                self._keep(w, self.old[w])
+            new -= again
+        self._add(new)
         return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)) + end, "<u4") for ws in words]
 
     def _add(self, new: set[bytes]) -> None:
