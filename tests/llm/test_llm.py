@@ -373,6 +373,97 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.report(empty, items).count() == 0
 
 
+def random_texts(seed, n=60):
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(8)] + ["É", "#a$", "x,y", "B"]
+    return [None, "", " \n", *("".join(rng.choice(words) + rng.choice([" ", " ", "\n", "\t"]) for _ in range(rng.integers(1, 70))) for _ in range(n))]
+
+
+def test_quality_brute_force(spark):
+    import re
+
+    texts = random_texts(4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(quality.judged(df, [], "q").select("doc_id", "q.*"))
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        seen, again, dup = {}, set(), 0
+        for k in range(len(w) - 7):
+            seen.setdefault(tuple(w[k : k + 8]), []).append(k)
+        for places in seen.values():
+            if len(places) > 1:
+                again.update(j for k in places for j in range(k, k + 8))
+        lines_ = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        dup = len(lines_) - len(set(lines_))
+        failed = len(w) < 20 or 100 * len(again) > 30 * len(w)
+        want = (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t or ""), dup, len(again), failed, not failed)
+        assert tuple(got.loc[i, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]]) == want
+
+
+def test_decontamination_brute_force(spark):
+    import re
+
+    def split(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+    rng = np.random.default_rng(9)
+    texts = [None, "", *(" ".join(rng.choice(["a", "b", "É", "B,"], rng.integers(1, 60))) for _ in range(60))]
+    items = [(i, " ".join(rng.choice(["a", "b", "é"], n))) for i, n in enumerate([3, 10, 11, 12, 14, 1, 0, 5])] + [(20, None), (21, texts[5])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(decontamination.report(df, spark.createDataFrame(items, "item_id long, text string")))
+    for i, t in enumerate(texts):
+        w, hit, names = split(t), set(), set()
+        for name, item in items:
+            v = split(item)
+            for x in {tuple(v[k : k + 10]) for k in range(max(1, len(v) - 9))} if v else ():
+                for k in range(len(w) - len(x) + 1):
+                    if tuple(w[k : k + len(x)]) == x:
+                        hit.update(range(k, k + len(x)))
+                        names.add(str(name))
+        assert (got.loc[i, "n_words"], got.loc[i, "n_hit"], list(got.loc[i, "items"])) == (len(w), len(hit), sorted(names))
+
+
+def test_near_duplicates_brute_force(spark):
+    """All links among texts that differ a little in many ways, with repeated rows."""
+    rng = np.random.default_rng(2)
+    texts = []
+    for family in range(12):
+        base = [f"f{family}x{k}" for k in range(rng.integers(20, 60))]
+        for _ in range(rng.integers(1, 14)):
+            t = list(base)
+            for p in rng.integers(0, len(t), rng.integers(0, 4)):
+                t[p] = f"e{rng.integers(5)}"
+            texts.append(" ".join(t[: len(t) - rng.integers(0, 4)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(neardup.near_duplicates(df.union(df), 3, 0.85))
+    want = brute_components(texts, 3, 0.85)
+    found = got.groupby(level=0)["component_id"].agg(["min", "max"]).sort_index()
+    assert found["min"].tolist() == found["max"].tolist() == want and len(got) == 2 * len(texts)
+
+
+def test_warc_ties(spark):
+    """Of equal page ids the largest url answers, whatever the order; repeated rows are written each."""
+    rows_ = [(5, "http://b", "x"), (5, "http://a", "x"), (5, "http://b", "x"), (1, None, "y" * 100_000), (None, "http://z", "x")]
+    for order in (rows_, rows_[::-1]):
+        got = warc.read_warc(warc.convert(warc.write_arc(spark.createDataFrame(order, "page_id long, url string, html string").coalesce(1)))).toPandas()
+        kinds = sorted(zip(got.url, got.record_type))
+        assert kinds == [("about:blank", "response"), ("http://a", "revisit"), ("http://b", "response"), ("http://b", "revisit"), ("http://z", "revisit")]
+        assert (got[got.record_type == "revisit"].refers_to == 5).all()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_edges(spark, docs, empty, name):
+    """Each stage takes nulls, empty and long texts, repeated rows, an empty table and columns with clashing names."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, docs.union(docs), "/root/testdata/sf0.001")
+    assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
+    if name != "packing":
+        assert got.columns == docs.columns and got.count() <= 2 * len(TEXTS)
+        assert {r[0] for r in got.select("doc_id").collect()} <= set(range(len(TEXTS)))
+    else:
+        assert got.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).where("n <> 2 * d").count() == 0
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
