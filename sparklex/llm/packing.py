@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparklex.llm.bytewords import chunks
-from sparklex.llm.wordids import word_ids
+from sparklex.llm.wordids import ENCODED_BYTES, word_ids
 
 
 @dataclass(frozen=True)
@@ -176,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
             return out
 
         packer, row = Packer(limits, cut, done), 0
-        for c in chunks(batches):
+        for c in chunks(batches, size=ENCODED_BYTES):
             raw = c.data.tobytes()
             texts = [raw[a:b] for a, b in zip(c.at[:-1], c.at[1:], strict=True)]
             prompts = c.rows.column("prompt").to_pylist()

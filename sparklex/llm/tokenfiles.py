@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sparklex.llm.bytewords import chunks
 from sparklex.llm.scratch import by_file, dropped, new_path, written
-from sparklex.llm.wordids import word_ids
+from sparklex.llm.wordids import ENCODED_BYTES, word_ids
 
 MAGIC = b"RVB1"
 #: In the files, the number of a document whose id is null.
@@ -64,7 +64,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer)
-        for c in chunks(batches):
+        for c in chunks(batches, size=ENCODED_BYTES):
             raw = c.data.tobytes()
             ids = encoder.encode([raw[a:b] for a, b in zip(c.at[:-1], c.at[1:], strict=True)], end_id)
             wide = [bool(len(x)) and int(x.max()) >= 1 << 16 for x in ids]

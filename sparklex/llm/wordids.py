@@ -17,6 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
+#: Bytes of texts that are encoded at a time.
+ENCODED_BYTES = 2 << 20
 #: Words and bytes of a worker's store before it becomes the old one; bytes of objects and of their place there, as measured, beside a word's own.
 KEPT_WORDS, KEPT_BYTES, ENTRY_BYTES = 250_000, 40 << 20, 150
 
