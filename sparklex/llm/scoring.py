@@ -4,7 +4,7 @@ P(word | history) = P(class | history) * P(word | class, history). Classes are g
 words, of about equal size; all other words are one more class. Both factors are softmaxes with weights for hashed features:
 the word before, the word before that (a skip feature) and the pair of both; in the second factor the class is hashed with
 them. In the class of all other words, each has its smoothed share of their count, whatever the history. Each task goes over its
-part of the training documents in sparse batches of gradient updates (AdaGrad) from common weights; the tasks' weights are
+part of the training documents in sparse batches of gradient updates (AdaGrad by row) from common weights; the tasks' weights are
 averaged, each row of them by how often the task used it, and the next pass starts from there. The number of hashed rows grows with
 the distinct words, up to a bound that is a worker's memory.
 
@@ -31,7 +31,7 @@ FREQUENT, CLASSED, CLASSES, CONTEXTS = 1 << 18, 4032, 64, 128
 #: Least and greatest number of bits of hashed rows; distinct words for each row.
 LEAST_BITS, MOST_BITS, WORDS_A_ROW = 13, 17, 128
 #: Kinds of features, tokens of a batch, step size (a pass's share), passes, blocks that weights travel in, input partitions of a training task.
-KINDS, BATCH, STEP, PASSES, BLOCKS, PARTS = 3, 1 << 13, 0.3, 2, 64, 8
+KINDS, BATCH, STEP, PASSES, BLOCKS, PARTS = 3, 1 << 12, 0.5, 2, 64, 8
 #: Added to each count, also that of one word for all that weren't seen.
 ADDED = 0.1
 END, BEGIN = random64(2, 11)
@@ -204,49 +204,86 @@ def features(t: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def outer_rows(h: np.ndarray, bits: int) -> np.ndarray:
     """The rows of the classes' weights."""
-    return (h >> np.uint64(64 - bits)).astype(np.int32)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def inner_rows(h: np.ndarray, classes: np.ndarray, bits: int) -> np.ndarray:
     """The rows of the words' weights, for these classes."""
-    return (mix(h + classes.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
+    return (mix(h + classes.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """bias: one for all, or a row for each."""
-    out = weights[rows[:, 0]] + bias
+def raised(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits, their exponentials and the sums of these. bias: one for all, or a row for each."""
+    logits = weights.take(rows[:, 0], axis=0)
+    logits += bias
     for k in range(1, rows.shape[1]):
-        out += weights[rows[:, k]]
-    out -= out.max(1, keepdims=True)
-    out -= np.log(np.exp(out).sum(1, keepdims=True))
+        logits += weights.take(rows[:, k], axis=0)
+    ones = np.ones(logits.shape[1], np.float32)
+    with np.errstate(over="ignore"):
+        e = np.exp(logits)
+        total = e @ ones
+    if not (total.min() > 1e-30 and total.max() < 1e30):  # too small or large to be taken as they are
+        logits -= logits.max(1, keepdims=True)
+        e = np.exp(logits)
+        total = e @ ones
+    return logits, e, total
+
+
+def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, gold: np.ndarray) -> np.ndarray:
+    """Of each row of features its gold column."""
+    logits, _, total = raised(weights, bias, rows)
+    return logits[np.arange(len(gold)), gold] - np.log(total)
+
+
+def few_sums(x: np.ndarray, of: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For groups of 1 to 8 places of the list `of`, by falling size, the sums of these rows of x."""
+    out = x.take(of[first], axis=0)
+    for j in range(1, int(size[0])):
+        k = np.count_nonzero(size > j)
+        out[:k] += x.take(of[first[:k] + j], axis=0)
     return out
 
 
+def group_sums(x: np.ndarray, of: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some of the groups, and of each of them the sum of the rows of x at its places of the list `of`."""
+    falling = np.argsort((9 - np.minimum(size, 9)).astype(np.uint8), kind="stable")
+    large = np.count_nonzero(size > 8)
+    many, some = falling[:large], falling[large:]
+    if len(some):
+        yield some, few_sums(x, of, first[some], size[some])
+    if large:  # eight places at a time, then these
+        parts = -(-size[many] // 8)
+        end = np.cumsum(parts)
+        at = np.repeat(first[many], parts) + 8 * (np.arange(end[-1]) - np.repeat(end - parts, parts))
+        left = np.minimum(np.repeat(first[many] + size[many], parts) - at, 8)
+        order = np.argsort((8 - left).astype(np.uint8), kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        yield many, np.add.reduceat(few_sums(x, of, at[order], left[order]).take(back, axis=0), end - parts, axis=0)
+
+
 class Trainer:
-    """Weights of one softmax in a task, and how often each row was used."""
+    """Weights of one softmax in a task, and how often each row was used; AdaGrad with one step size a row."""
 
     def __init__(self, weights: np.ndarray, step: float):
         self.w, self.step = weights.copy(), step
         self.used = np.zeros(len(weights), np.float32)
-        self.squares = np.full(weights.shape, 1e-2, np.float32)
+        self.squares = np.full(len(weights), 1e-2, np.float32)
 
     def learn(self, bias: np.ndarray, rows: np.ndarray, gold: np.ndarray) -> None:
-        g = self.w[rows[:, 0]] + bias
-        for k in range(1, KINDS):
-            g += self.w[rows[:, k]]
-        g -= g.max(1, keepdims=True)
-        np.exp(g, out=g)
-        g /= g.sum(1, keepdims=True)
+        _, g, total = raised(self.w, bias, rows)
+        g /= total[:, None]
         g[np.arange(len(gold)), gold] -= 1
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        of = flat[order]
+        key = np.sort(rows.ravel() << 20 | np.arange(rows.size))
+        of, token = key >> 20, (key & (1 << 20) - 1) // KINDS
         edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-        row, n = of[edge], np.diff(np.append(edge, len(of)))
-        step = np.add.reduceat(g[order // KINDS], edge, axis=0) / np.sqrt(n)[:, None].astype(np.float32)
-        self.squares[row] += step * step
-        self.w[row] -= self.step * step / np.sqrt(self.squares[row])
-        self.used[row] += n
+        size = np.diff(np.append(edge, len(of)))
+        for groups, sums in group_sums(g, token, edge, size):
+            row, n = of[edge[groups]], size[groups].astype(np.float32)
+            self.squares[row] += np.einsum("ij,ij->i", sums, sums) / (n * sums.shape[1])
+            sums *= (self.step / np.sqrt(n * self.squares[row]))[:, None]
+            self.w[row] = self.w.take(row, axis=0) - sums
+            self.used[row] += n
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
         each = len(self.w) // BLOCKS
@@ -334,11 +371,11 @@ def log_probability(m: Model, t: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = np.empty(len(t))
     for i in range(0, len(t), BATCH):
         part = classes[i : i + BATCH]
-        out[i : i + BATCH] = log_softmax(m.weights, m.bias, outer_rows(h[i : i + BATCH], m.bits))[np.arange(len(part)), part]
+        out[i : i + BATCH] = log_softmax(m.weights, m.bias, outer_rows(h[i : i + BATCH], m.bits), part)
     some = np.flatnonzero(classes)
     for i in range(0, len(some), BATCH):
         k = some[i : i + BATCH]
-        out[k] += log_softmax(m.inner, m.inner_bias[classes[k]], inner_rows(h[k], classes[k], m.bits))[np.arange(len(k)), m.place[at[k]]]
+        out[k] += log_softmax(m.inner, m.inner_bias[classes[k]], inner_rows(h[k], classes[k], m.bits), m.place[at[k]])
     return out / np.log(10)
 
 

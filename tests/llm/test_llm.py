@@ -280,6 +280,21 @@ def test_probabilities_sum_to_one(spark, monkeypatch):
         assert abs((10 ** logp.reshape(len(nexts), -1)[:, -1]).sum() - 1) < 1e-4
 
 
+def test_group_sums():
+    """Groups of one to hundreds of rows, in any order, against sums by hand."""
+    rng = np.random.default_rng(5)
+    for sizes in (rng.integers(1, 300, 20), np.ones(7, np.int64), np.array([8, 9, 1, 64, 65]), np.array([12])):
+        x = rng.random((50, 4)).astype(np.float32)
+        of = rng.integers(0, 50, sizes.sum())
+        first = np.cumsum(sizes) - sizes
+        seen = []
+        for groups, sums in scoring.group_sums(x, of, first, sizes):
+            seen.extend(groups)
+            for g, got in zip(groups, sums, strict=True):
+                assert np.allclose(got, x[of[first[g] : first[g] + sizes[g]]].sum(0), rtol=1e-4)
+        assert sorted(seen) == list(range(len(sizes)))
+
+
 def test_scoring_learns(spark):
     """The model beats the base on held-out texts, whatever the partitions."""
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
