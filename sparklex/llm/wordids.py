@@ -74,10 +74,10 @@ class WordIds:
             self.old, self.known, self.bytes = self.known, {}, 0
         new = set().union(*words).difference(self.known)
         if self.old:
-            again = new.intersection(self.old)
-            for w in again:
-                self._keep(w, self.old[w])
-            new -= again
+            again = {w: self.old[w] for w in new.intersection(self.old)}
+            self.known |= again
+            self.bytes += sum(map(len, again)) + sum(map(len, again.values())) + ENTRY_BYTES * len(again)
+            new.difference_update(again)
         self._add(new)
         return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)) + end, "<u4") for ws in words]
 
@@ -85,7 +85,9 @@ class WordIds:
         others = []
         for w in new:
             if m := PARTS.fullmatch(w.decode("utf-8", "replace")):
-                self._keep(w, self._letters(m[1].lower().encode()) + (self._punctuation(m[2].encode()) if m[2] else b""))
+                head, tail = m.groups()
+                ids = self._letters(head.lower().encode())
+                self._keep(w, ids + self._punctuation(tail.encode()) if tail else ids)
             else:
                 others.append(w)
         self._encode(others)
@@ -98,8 +100,9 @@ class WordIds:
 
     def _letters(self, head: bytes) -> bytes:
         if (ids := self.known.get(head)) is None:
-            symbols = head.decode("ascii") if head.isascii() else head.decode("latin-1").translate(SYMBOLS)
-            ids = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+            if (ids := self.old.get(head)) is None:
+                symbols = head.decode("ascii") if head.isascii() else head.decode("latin-1").translate(SYMBOLS)
+                ids = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
             self._keep(head, ids)
         return ids
 
