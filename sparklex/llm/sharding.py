@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from sparklex.llm.scratch import new_path
 
 BUCKET_BYTES = 16 << 20
-#: Buckets of one task.
-TASK_BUCKETS = 4
+#: Buckets of one task, on average: as they are hashed to tasks, some get several times as many.
+TASK_BUCKETS = 1
 
 
 def rendezvous(key: Column, shards: int, seed: int) -> Column:
