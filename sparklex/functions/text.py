@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,6 +72,43 @@ def ngrams(text: str, n: int = 2, kanji: int = 0, cross: bool = True) -> list[st
     return list(out)
 
 
+def gram_places(texts: list[str], size: int, ideographs: bool | None = None, cross: bool = True) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct n-grams of so many characters in texts, the texts that have each (all in one array), and their number for each n-gram.
+
+    ideographs: only those that begin (True) or don't begin (False) with an ideograph; cross as in ngrams().
+    """
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    of = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) for t in texts])
+    n = max(0, len(chars) - size + 1)
+    code, bits = chars[:n], 21
+    for k in range(1, size):
+        if k > 1:  # numbers of the distinct ones so far instead: two characters and a text's number fit
+            code, bits = np.unique(code, return_inverse=True)[1].astype(np.uint64), max(1, len(chars).bit_length())
+        code, bits = code << np.uint64(21) | chars[k : n + k], bits + 21
+    ok = of[:n] == of[size - 1 :]
+    if ideographs is not None or not cross:
+        kind = np.zeros(len(chars), bool)
+        for a, b in CJK:
+            kind |= (chars >= a) & (chars <= b)
+        if ideographs is not None:
+            ok &= kind[:n] == ideographs
+        for k in range(1, 1 if cross else size):
+            ok &= kind[:n] == kind[k : n + k]
+    shift = len(texts).bit_length()
+    assert bits + shift <= 64
+    at = np.flatnonzero(ok)
+    pairs = np.unique(code[at] << np.uint64(shift) | of[at])
+    own = pairs >> np.uint64(shift)
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+    if size > 2:
+        at = at[np.unique(code[at], return_index=True)[1]]
+        shown = chars[at[:, None] + np.arange(size)]
+    else:
+        shown = own[first][:, None] >> np.array([21, 0][-size:], np.uint64) & np.uint64((1 << 21) - 1)
+    every = shown.astype("<u4").tobytes().decode("utf-32-le")
+    return [every[i : i + size] for i in range(0, len(every), size)], (pairs & np.uint64((1 << shift) - 1)).astype(np.int64), np.diff(np.append(first, len(own)))
+
+
 #: An ideograph, as a regular expression.
 IDEOGRAPH = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in CJK) + "]"
 

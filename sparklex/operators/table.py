@@ -7,9 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklex.functions.text import all_of, ngram_array
+from sparklex.functions.text import all_of
 from sparklex.operators.highlight import highlighted
-from sparklex.operators.postings import BUCKETS, Postings
+from sparklex.operators.postings import BUCKETS, Postings, posting_lists
 from sparklex.operators.rank import bm25, corpus_stats, ordered
 from sparklex.plans.language import command
 from sparklex.plans.predicate import Compiler, resolve
@@ -119,10 +119,10 @@ class SearchTable:
 
     def postings(self) -> DataFrame:
         """ngram, key: one row for each text's distinct n-gram."""
-        return self.rows.select(F.explode(ngram_array(F.col("norm_text"), self.spec.n, self.spec.kanji, self.spec.cross)).alias("ngram"), self.spec.key)
+        return posting_lists(self.rows, self.spec).select("ngram", F.explode("keys").alias(self.spec.key))
 
     def posting_sizes(self) -> DataFrame:
-        return self.postings().groupBy("ngram").agg(F.count("*").alias("docs"))
+        return posting_lists(self.rows, self.spec).groupBy("ngram").agg(F.sum(F.size("keys")).alias("docs"))
 
     def statistics(self) -> DataFrame:
         return self.posting_sizes().agg(F.count("*").alias("terms"), F.sum("docs").alias("postings"))

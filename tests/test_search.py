@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparklex.functions.text import fuzzy_word, ngram_array, ngrams, normalize, term_count
+from sparklex.functions.text import fuzzy_word, gram_places, ngram_array, ngrams, normalize, term_count
 from sparklex.functions.values import canonical, epoch, integer, number, shown_bytes, time_seconds
+from sparklex.operators import postings
 from sparklex.operators.highlight import original_snippet, snippet
+from sparklex.operators.postings import Postings
 from sparklex.operators.table import SearchTable
 from sparklex.plans.language import boolean, command, is_boolean, simplified, web
 from sparklex.plans.spec import Filter, Highlight, Query, Required, TableSpec, Term
@@ -129,6 +131,27 @@ def test_ngram_arrays(spark):
         assert got == {i: None if t is None else ngrams(t, n, kanji, cross) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("n,kanji,cross", [(1, 0, True), (2, 0, True), (2, 1, True), (2, 1, False), (3, 0, False), (5, 2, True)])
+def test_gram_places_equal_ngrams(n, kanji, cross):
+    texts = ["", "a", "aa日本aa日本", "abc語x語x", "𠀀𠀀b\U0010ffff", "aabcb\n日本語abcb"]
+    want = sorted((g, i) for i, t in enumerate(texts) for g in ngrams(t, n, kanji, cross))
+    got = []
+    for size, ideographs in [(n, None)] if kanji in (0, n) else [(n, False), (kanji, True)]:
+        grams, of, count = gram_places(texts, size, ideographs, cross)
+        assert len(set(grams)) == len(grams) == len(count)
+        got += zip([g for g, k in zip(grams, count) for _ in range(k)], of.tolist(), strict=True)
+    assert sorted(got) == want
+
+
+def test_postings_are_written_as_lists(spark, tmp_path, monkeypatch):
+    """Not a row for each posting; texts of several chunks, equal and null ones are all there."""
+    monkeypatch.setattr(postings, "CHARS", 1000)
+    rows = spark.createDataFrame([(f"k{i}", None if i % 50 == 0 else f"the same words {i % 3}") for i in range(1000)], "k string, norm_text string").coalesce(1)
+    p = Postings.build(rows, TableSpec("k", ("text",)), str(tmp_path / "p"), 4)
+    assert {r.key for r in p.of(["sa"]).collect()} == {f"k{i}" for i in range(1000) if i % 50}
+    assert p.rows.count() == 980 * len(ngrams("the same words 0")) > 5 * p.lists.count()
+
+
 def test_postings_equal_scan(spark, tmp_path):
     texts = ["the data", "dat ata", None, "", "東京 data", "京都東京", "x"]
     for k, spec in enumerate((dict(verify="off"), dict(verify="all"), dict(verify="off", kanji=1))):
