@@ -27,7 +27,7 @@ BLOCK_BYTES = 8 << 20
 #: Bytes of all benchmark texts that tasks get; a larger benchmark is refused, to be taken in parts.
 LIMIT_BYTES = 64 << 20
 #: Words and documents of a shard, about.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 200_000
 
 
 @dataclass

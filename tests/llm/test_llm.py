@@ -483,3 +483,20 @@ def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert len(got) and got.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_decontamination_holds_little_text_at_a_time():
+    """What a task holds follows from the shard, not from its partition."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    p = decontamination.phrases_of(["a"], [" ".join(f"w{i}" for i in range(12))])
+    texts = [" ".join(f"w{i % 977}" for i in range(k, k + 50_000)) for k in range(24)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    hit = sum(int(f.hit.sum()) for f in decontamination.merged(bytewords.chunks(iter([batch])), [p]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hit > 24 * 50 * 12
+    assert peak < 40e6
