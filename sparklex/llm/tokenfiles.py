@@ -84,8 +84,8 @@ def counted(tokens: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << 16, np.int64)
         for f in frames:
-            for blob, wide in zip(f["ids"], f["wide"], strict=True):
-                n = np.bincount(ids_of(blob, wide))
+            for wide, blobs in f.groupby("wide")["ids"]:
+                n = np.bincount(ids_of(b"".join(blobs), wide))
                 if len(n) > len(total):
                     total = np.pad(total, (0, len(n) - len(total)))
                 total[: len(n)] += n
