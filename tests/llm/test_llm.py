@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparklex.llm import bytewords, components, decontamination, fmindex, lines, neardup, packing, quality, queries, scoring, sharding, substrings, tokenfiles, warc, wordids
+from sparklex.llm import bytewords, components, decontamination, fmindex, lines, neardup, packing, quality, queries, scoring, scratch, sharding, substrings, tokenfiles, warc, wordids
 from sparklex.llm.queries import tokenizer_path
 
 LONG = " ".join(f"w{i % 97}x{i % 89}" for i in range(3000))
@@ -100,6 +100,22 @@ def test_components(spark):
     assert {r[0]: r[1] for r in components.components(links).collect()} == {5: 3, 4: 3, 3: 3, 9: 3, 8: 7, 7: 7}
 
 
+def test_components_plans_stay_small(spark, monkeypatch):
+    """Each step is planned by itself: a plan that holds several steps took too much of the driver's memory."""
+    shuffles = []
+
+    def written(df, *args, **kwargs):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return scratch.written(df, *args, **kwargs)
+
+    monkeypatch.setattr(components, "written", written)
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (None, 3)], "a long, b long")
+    found = components.components(links)
+    assert {r[0]: r[1] for r in found.collect()} == {k: 0 for k in range(41)} | {100: 100, 101: 100}
+    assert max(shuffles) <= 6
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("bucket", [2048, 0])
 def test_substrings(docs, empty, bucket, monkeypatch):
     monkeypatch.setattr(substrings, "BUCKET", bucket)
