@@ -24,6 +24,8 @@ KEPT_WORDS, KEPT_BYTES, ENTRY_BYTES = 250_000, 40 << 20, 150
 
 #: Precomposed Latin letters (but the one whose small letter is two characters), then ASCII punctuation but the apostrophe (which can begin a contraction).
 PARTS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+#: The punctuation of PARTS.
+PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27)
 
 #: Bytes that a byte-level vocabulary writes as the character of that number; the others follow from 256 on.
 PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -82,14 +84,33 @@ class WordIds:
         return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)) + end, "<u4") for ws in words]
 
     def _add(self, new: set[bytes]) -> None:
-        others = []
+        """Keeps the ids of words that aren't known."""
+        known, old, tokenize, match = self.known, self.old, self.model.tokenize, PARTS.fullmatch
+        others, size = [], 0
         for w in new:
-            if m := PARTS.fullmatch(w.decode("utf-8", "replace")):
-                head, tail = m.groups()
-                ids = self._letters(head.lower().encode())
-                self._keep(w, ids + self._punctuation(tail.encode()) if tail else ids)
+            head = w.rstrip(PUNCTUATION)
+            if head.isalpha():  # of ASCII, as all methods of bytes
+                tail = w[len(head) :]
+                head = head.lower()
+            elif not w.isascii() and (m := match(w.decode("utf-8", "replace"))):
+                head, tail = m[1].lower().encode(), m[2].encode()
             else:
                 others.append(w)
+                continue
+            ids = known.get(head)
+            if ids is None:
+                ids = old.get(head)
+                if ids is None:
+                    symbols = head.decode("ascii") if head.isascii() else head.decode("latin-1").translate(SYMBOLS)
+                    ids = array("I", [t.id for t in tokenize(symbols)]).tobytes()
+                known[head] = ids
+                size += len(head) + len(ids) + ENTRY_BYTES
+            if tail:
+                ids += known.get(tail) or self._punctuation(tail)
+            if head != w:
+                known[w] = ids
+                size += len(w) + len(ids) + ENTRY_BYTES
+        self.bytes += size
         self._encode(others)
 
     def _encode(self, words: list[bytes]) -> None:
@@ -98,14 +119,6 @@ class WordIds:
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
                 self._keep(w, array("I", e.ids).tobytes())
 
-    def _letters(self, head: bytes) -> bytes:
-        if (ids := self.known.get(head)) is None:
-            if (ids := self.old.get(head)) is None:
-                symbols = head.decode("ascii") if head.isascii() else head.decode("latin-1").translate(SYMBOLS)
-                ids = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
-            self._keep(head, ids)
-        return ids
-
     def _punctuation(self, tail: bytes) -> bytes:
         if tail not in self.known:
             self._encode([tail])

@@ -19,3 +19,23 @@ def test_odd_words_have_the_tokenizers_ids(monkeypatch):
     for k in range(0, len(texts), 20):
         for got, want in zip(made.encode([t.encode() for t in texts[k : k + 20]], 1), whole[k : k + 20]):
             assert got.tolist() == [*want.ids, 1]
+
+
+def test_ascii_words_need_no_pattern(monkeypatch):
+    """Letters and punctuation of ASCII are parted by the methods of bytes, as PARTS parts them."""
+    r = random.Random(2)
+    texts = ["".join(chr(r.randrange(0x20, 0x7F)) if r.random() < 0.3 else r.choice("abcXYZ ") for _ in range(200)) for _ in range(100)]
+    seen = []
+    parts = wordids.PARTS
+
+    class Pattern:
+        def fullmatch(self, s):
+            seen.append(s)
+            return parts.fullmatch(s)
+
+    monkeypatch.setattr(wordids, "PARTS", Pattern())
+    made = wordids.WordIds(tokenizer_path())
+    whole = made.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    for got, want in zip(made.encode([t.encode() for t in texts], 1), whole):
+        assert got.tolist() == [*want.ids, 1]
+    assert not [s for s in seen if s.isascii()]
