@@ -183,7 +183,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
             for name, text, prompt, ids in zip(c.rows.column("doc_id").to_pylist(), texts, prompts, encoder.encode(texts, end_id), strict=True):
                 names[row], waiting[row] = name, len(ids)
                 free = len(encoder.encode([b" ".join(text.split()[:prompt])], end_id)[0]) - 1 if prompt is not None else int(prompt_share * len(ids))
-                packer.add(Piece(row, 0, ids, len(ids), free))
+                packer.add(Piece(row, 0, ids.astype("<u4", copy=False), len(ids), free))
                 row += 1
             if made:
                 yield rows()

@@ -67,8 +67,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
         for c in chunks(batches, size=ENCODED_BYTES):
             raw = c.data.tobytes()
             ids = encoder.encode([raw[a:b] for a, b in zip(c.at[:-1], c.at[1:], strict=True)], end_id)
-            wide = [bool(len(x)) and int(x.max()) >= 1 << 16 for x in ids]
-            blobs = [x.tobytes() if w else x.astype("<u2").tobytes() for x, w in zip(ids, wide, strict=True)]
+            wide = [x.itemsize > 2 and int(x.max()) >= 1 << 16 for x in ids]
+            blobs = [x.tobytes() if w else x.astype("<u2", copy=False).tobytes() for x, w in zip(ids, wide, strict=True)]
             yield pa.RecordBatch.from_arrays([c.rows.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(wide), pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "wide", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, wide boolean, ids binary")

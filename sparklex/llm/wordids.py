@@ -13,6 +13,8 @@ import json
 import os
 import re
 from array import array
+from codecs import charmap_decode
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -26,10 +28,13 @@ KEPT_WORDS, KEPT_BYTES, ENTRY_BYTES = 250_000, 40 << 20, 150
 PARTS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 #: The punctuation of PARTS.
 PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27)
+IS_PUNCTUATION, IS_ALPHANUMERIC = (np.isin(np.arange(256), list(x)) for x in (PUNCTUATION, bytes(b for b in range(0x80) if chr(b).isalnum())))
 
 #: Bytes that a byte-level vocabulary writes as the character of that number; the others follow from 256 on.
 PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-SYMBOLS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(PLAIN)))}
+OTHERS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(PLAIN)))}
+#: The character of each byte.
+SYMBOLS = "".join(chr(OTHERS.get(b, b)) for b in range(256))
 
 
 # The normaliser and the splitter of a tokenizer whose words can be taken one by one.
@@ -53,6 +58,21 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+class Known(dict):
+    """Words and their ids, packed; ids are made where they are first asked for, or come back from the store before."""
+
+    def __init__(self, make: Callable[[Known, bytes], bytes], old: dict[bytes, bytes]):
+        self.make, self.old, self.bytes = make, old, 0
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(self, word)
+        self[word] = ids
+        self.bytes += len(word) + len(ids) + ENTRY_BYTES
+        return ids
+
+
 class WordIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,70 +81,52 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.by_words = by_words(self.tokenizer)
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}  # the store before: words that are met again come back from it
-        self.bytes = 0
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        largest = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+        self.code = "H" if largest < 1 << 16 else "I"  # of the ids of words
+        self.known = Known(self._make, {})
 
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
-        """For each text (UTF-8) its ids and end_id, as little-endian unsigned 32-bit integers."""
-        end = np.array([end_id], "<u4").tobytes()
+        """For each text (UTF-8) its ids and end_id, as little-endian unsigned integers: of 16 bits where those hold all of the vocabulary, else 32."""
+        kind = np.dtype("<u2" if self.code == "H" and end_id < 1 << 16 else "<u4")
+        end = np.array([end_id], kind).tobytes()
         if not self.by_words:
             every = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-            return [np.frombuffer(array("I", e.ids).tobytes() + end, "<u4") for e in every]
-        words = [t.split() for t in texts]
-        if len(self.known) > KEPT_WORDS or self.bytes > KEPT_BYTES:
-            self.old, self.known, self.bytes = self.known, {}, 0
-        new = set().union(*words).difference(self.known)
-        if self.old:
-            again = {w: self.old[w] for w in new.intersection(self.old)}
-            self.known |= again
-            self.bytes += sum(map(len, again)) + sum(map(len, again.values())) + ENTRY_BYTES * len(again)
-            new.difference_update(again)
-        self._add(new)
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)) + end, "<u4") for ws in words]
-
-    def _add(self, new: set[bytes]) -> None:
-        """Keeps the ids of words that aren't known."""
-        known, old, tokenize, match = self.known, self.old, self.model.tokenize, PARTS.fullmatch
-        others, size = [], 0
-        for w in new:
-            head = w.rstrip(PUNCTUATION)
-            if head.isalpha():  # of ASCII, as all methods of bytes
-                tail = w[len(head) :]
-                head = head.lower()
-            elif not w.isascii() and (m := match(w.decode("utf-8", "replace"))):
-                head, tail = m[1].lower().encode(), m[2].encode()
-            else:
-                others.append(w)
-                continue
-            ids = known.get(head)
-            if ids is None:
-                ids = old.get(head)
-                if ids is None:
-                    symbols = head.decode("ascii") if head.isascii() else head.decode("latin-1").translate(SYMBOLS)
-                    ids = array("I", [t.id for t in tokenize(symbols)]).tobytes()
-                known[head] = ids
-                size += len(head) + len(ids) + ENTRY_BYTES
-            if tail:
-                ids += known.get(tail) or self._punctuation(tail)
-            if head != w:
-                known[w] = ids
-                size += len(w) + len(ids) + ENTRY_BYTES
-        self.bytes += size
-        self._encode(others)
-
-    def _encode(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self._keep(w, array("I", e.ids).tobytes())
-
-    def _punctuation(self, tail: bytes) -> bytes:
-        if tail not in self.known:
-            self._encode([tail])
-        return self.known[tail]
-
-    def _keep(self, word: bytes, ids: bytes) -> None:
-        if word not in self.known:
-            self.known[word] = ids
-            self.bytes += len(word) + len(ids) + ENTRY_BYTES
+            return [np.frombuffer(array("H" if kind.itemsize == 2 else "I", e.ids).tobytes() + end, kind) for e in every]
+        if len(self.known) > KEPT_WORDS or self.known.bytes > KEPT_BYTES:
+            self.known.old = {}
+            self.known = Known(self._make, self.known)
+        ids = self.known.__getitem__
+        if self.code == "H" and kind.itemsize == 4:
+            return [np.frombuffer(np.frombuffer(b"".join(map(ids, t.split())), "<u2").astype(kind).tobytes() + end, kind) for t in self._parted(texts)]
+        return [np.frombuffer(b"".join(map(ids, t.split())) + end, kind) for t in self._parted(texts)]
+
+    def _parted(self, texts: list[bytes]) -> list[bytes]:
+        """The texts with ASCII in small letters and a space before punctuation that follows a letter or digit of ASCII: the ids stay.
+
+        The tokenizer parts its words there, too, and white space has no ids. Left as they are: texts with what may be an
+        added token, and letters' case in texts with a mark (U+0300 to U+037F: it may join with a small letter alone).
+        """
+        lower = [t.lower() for t in texts]
+        plain = [not any(a in t for a in self.added) for t in lower]
+        taken = [(s if b"\xcc" not in t and b"\xcd" not in t else t) if p else b"" for t, s, p in zip(texts, lower, plain, strict=True)]
+        raw = np.frombuffer(b"".join(taken), np.uint8)
+        cuts = np.flatnonzero(IS_PUNCTUATION[raw[1:]] & IS_ALPHANUMERIC[raw[:-1]]) + 1
+        at = np.cumsum([0, *map(len, taken)])
+        at += np.searchsorted(cuts, at)
+        whole = np.insert(raw, cuts, 0x20).tobytes()
+        return [whole[a:b] if p else t for a, b, p, t in zip(at[:-1].tolist(), at[1:].tolist(), plain, texts, strict=True)]
+
+    def _make(self, known: Known, word: bytes) -> bytes:
+        """The ids of a word that isn't known."""
+        if word.isalpha():  # of ASCII, as all methods of bytes
+            return array(self.code, [t.id for t in self.model.tokenize(word.lower().decode("ascii"))]).tobytes()
+        if word.isascii():
+            head = word.rstrip(PUNCTUATION)
+            if head.isalpha():
+                return known[head] + known[word[len(head) :]]
+        elif m := PARTS.fullmatch(word.decode("utf-8", "replace")):
+            if m[2]:
+                return known[m[1].encode()] + known[m[2].encode()]
+            return array(self.code, [t.id for t in self.model.tokenize(charmap_decode(m[1].lower().encode(), "strict", SYMBOLS)[0])]).tobytes()
+        return array(self.code, self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace")], add_special_tokens=False)[0].ids).tobytes()

@@ -39,3 +39,24 @@ def test_ascii_words_need_no_pattern(monkeypatch):
     for got, want in zip(made.encode([t.encode() for t in texts], 1), whole):
         assert got.tolist() == [*want.ids, 1]
     assert not [s for s in seen if s.isascii()]
+
+
+def test_case_and_punctuation_make_no_new_words():
+    """The ids of a word of ASCII are made and kept once, whatever its letters' case and the punctuation after it."""
+    made = wordids.WordIds(tokenizer_path())
+    made.encode([b"Word word WORD word, Word. word?! WORD) x1, X1."], 1)
+    assert sorted(made.known) == sorted([b"word", b"x1", b",", b".", b"?!", b")"])
+
+
+def test_parted_texts_have_the_tokenizers_ids():
+    """Marks that join with a small letter alone, contractions, runs of punctuation, what may be an added token; texts of a call are kept apart."""
+    r = random.Random(3)
+    pieces = ["A", "h", "H", "J", "T", "1", "̱", "̌", "̈", "̧", "̸", "é", "É", "×", "ǆ", "Σ", "İ", "K", "中", ",", ".", "?!", "'", "'S", "'ll", "<", "=", "|>", "-", " ", "\n", " ", " ", "\x00", "\x1c", "_"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(0, 25))) for _ in range(4000)]
+    texts += ["a<|endoftext|>b, C<|startoftext|>.", "A<|ENDOFTEXT|>b", "H̱<|endoftext|>", "<|endoftext|", ",", "a", "", ",a", "a", ",", "A,"]
+    made = wordids.WordIds(tokenizer_path())
+    whole = made.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    for end in (1, 70_000):
+        for k in range(0, len(texts), 50):
+            for text, got, want in zip(texts[k : k + 50], made.encode([t.encode() for t in texts[k : k + 50]], end), whole[k : k + 50]):
+                assert got.tolist() == [*want.ids, end], text
