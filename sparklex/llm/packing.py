@@ -86,25 +86,25 @@ class Packer:
         pieces = self.pool
         need = np.array([[len(p.ids), 1, p.loss()] for p in pieces], np.int64).reshape(-1, 3)
         share = need / self.full
+        tokens, loss = need[:, 0].copy(), need[:, 2].copy()
         free = np.array([max(0, p.prompt - p.start) for p in pieces], np.int64)
         here = np.ones(len(pieces), bool)
         left = len(pieces)
         while left > keep:
-            fits = here & (need <= self.room).all(1)
-            if fits.any():
-                at = np.flatnonzero(fits)
+            at = np.flatnonzero(here & (tokens <= self.room[0]) & (loss <= self.room[2])) if self.room[1] else ()
+            if len(at):
                 k = int(at[np.argmax(share[at] @ (self.room / self.full))])
                 self._put(pieces[k])
                 here[k] = False
                 left -= 1
                 continue
-            part = np.minimum(np.minimum(need[:, 0], self.room[0]), free + self.room[2]) * here
+            part = np.minimum(np.minimum(tokens, self.room[0]), free + self.room[2]) * here
             k = int(np.argmax(part))
             if self.cut and self.room[1] and part[k]:
                 first, pieces[k] = pieces[k].halves(int(part[k]))
                 self._put(first)
-                need[k] = len(pieces[k].ids), 1, pieces[k].loss()
-                share[k] = need[k] / self.full
+                tokens[k], loss[k] = len(pieces[k].ids), pieces[k].loss()
+                share[k] = np.array([tokens[k], 1, loss[k]]) / self.full
                 free[k] = max(0, free[k] - part[k])
             else:
                 self._close()

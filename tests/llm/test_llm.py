@@ -240,6 +240,44 @@ def test_packing(docs, empty):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
+def test_pieces_are_placed_by_the_rule(monkeypatch):
+    """Each placed piece is the fitting one of the largest dot product, the first of equal ones; if none fits, the one of which most fits is cut."""
+    monkeypatch.setattr(packing, "POOL", 40)
+    r, limits = np.random.default_rng(5), packing.Limits(tokens=64, segments=5, loss_tokens=48)
+    full = np.array([64, 5, 48])
+    state = []
+
+    class Watched(packing.Packer):
+        def place(self, keep):
+            state[:] = [p for p in self.pool]
+            super().place(keep)
+
+        def _put(self, p):
+            need = [np.array([len(q.ids), 1, q.loss()]) for q in state]
+            fit = [i for i, n in enumerate(need) if (n <= self.room).all()]
+            if fit:
+                value = [round(float(need[i] / full @ (self.room / full)), 9) for i in fit]
+                chosen = [i for i in fit if (state[i].row, state[i].start) == (p.row, p.start)]
+                assert chosen and value[fit.index(chosen[0])] == max(value)
+                del state[chosen[0]]
+            else:
+                most = [q.largest(int(self.room[0]), int(self.room[2])) for q in state]
+                i = int(np.argmax(most))
+                assert (p.row, p.start, len(p.ids)) == (state[i].row, state[i].start, most[i])
+                state[i] = state[i].halves(most[i])[1]
+            super()._put(p)
+
+    done, sizes = [], r.integers(1, 150, 400)
+    packer = Watched(limits, True, done.append)
+    for row, n in enumerate(sizes):
+        packer.add(packing.Piece(row, 0, np.arange(n, dtype=np.uint32), int(n), int(n) // 4))
+    packer.finish()
+    got = sorted((p.row, p.start, len(p.ids)) for s in done for p in s)
+    assert [sum(n for w, _, n in got if w == row) for row in range(400)] == sizes.tolist()
+    for s in done:
+        assert sum(len(p.ids) for p in s) <= 64 and len(s) <= 5 and sum(p.loss() for p in s) <= 48
+
+
 def test_prompt(spark):
     df = spark.createDataFrame([(1, "one two three four", 2)], "doc_id long, text string, p int")
     assert packing.pack(df, tokenizer_path(), prompt_words=F.col("p")).agg(F.sum("loss_tokens")).first()[0] == 3
