@@ -59,7 +59,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparklex.llm import tokenfiles
 
-    return tokenfiles.read(tokenfiles.write(table(spark, sf_dir, "documents"), tokenizer_path())).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return tokenfiles.read(tokenfiles.write(table(spark, sf_dir, "documents"), tokenizer_path()), with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

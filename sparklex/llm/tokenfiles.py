@@ -31,29 +31,34 @@ NULL_ID = -(1 << 63)
 #: Ids in a block, but for one longer document.
 BLOCK_IDS = 500_000
 #: For each control byte, the bytes of its four ids.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of ranks."""
-    n = len(ranks)
-    as_bytes = np.ascontiguousarray(ranks, "<u4").view(np.uint8).reshape(n, 4)
-    size = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
+    n, top = len(ranks), int(ranks.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    size = np.ones(n, np.uint8)
+    for k in range(1, width):
+        size += ranks >= 1 << 8 * k
     codes = np.zeros(-(-n // 4) * 4, np.uint8)
     codes[:n] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    return control.tobytes(), as_bytes[np.arange(4) < size[:, None]].tobytes()
+    control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
+    kept = np.empty((n, width), bool)
+    for k in range(width):
+        kept[:, k] = size > k
+    return control.tobytes(), ranks.astype(f"<u{width}").view(np.uint8).reshape(n, width)[kept].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ranks that pack() put in."""
     size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    at = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = np.zeros(n, np.uint32)
-    for k in range(4):
-        more = size > k
-        if not more.any():
+    at = np.cumsum(size, dtype=np.int64) - size
+    raw = np.frombuffer(data, np.uint8)
+    out = raw[at].astype(np.uint32)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        if not len(more):
             break
         out[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
@@ -162,23 +167,26 @@ def blocks(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         yield numbers, lengths, unpack(stream.read(-(-ids // 4)), stream.read(size), ids)
 
 
-def read(manifest: DataFrame) -> DataFrame:
-    """The documents of the files: doc_id, start (ids before it), n_tokens, ids (little-endian unsigned 32 bits), ids_crc32."""
+def read(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """The documents of the files: doc_id, start (ids before it), n_tokens, ids (little-endian unsigned 32 bits, not if with_ids is false), ids_crc32."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))  # a row a file
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for folder, file, start in zip(f["folder"], f["file"], f["start"], strict=True):
-                store, at = fs.FileSystem.from_uri(folder)
-                with store.open_input_stream(f"{at}/ranks", compression=None) as s:
-                    by_rank = np.frombuffer(s.read(), "<u4")
-                with store.open_input_stream(f"{at}/{file}", compression=None) as s:
-                    for numbers, lengths, ranks in blocks(s):
-                        ids = by_rank[ranks]
-                        ends = np.cumsum(lengths)
-                        parts = [ids[b - n : b].astype("<u4").tobytes() for b, n in zip(ends, lengths, strict=True)]
-                        yield pd.DataFrame({"doc_id": pd.array(np.where(numbers == NULL_ID, 0, numbers), "Int64").copy(), "start": start + ends - lengths, "n_tokens": lengths, "ids": parts, "ids_crc32": [zlib.crc32(x) for x in parts]}).assign(doc_id=lambda d, none=numbers == NULL_ID: d["doc_id"].mask(none))
-                        start += int(lengths.sum())
-
-    return by_file(files).mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in (row for b in batches for row in b.to_pylist()):
+            start = f["start"]
+            store, at = fs.FileSystem.from_uri(f["folder"])
+            with store.open_input_stream(f"{at}/ranks", compression=None) as s:
+                by_rank = np.frombuffer(s.read(), "<u4")
+            with store.open_input_stream(f"{at}/{f['file']}", compression=None) as s:
+                for numbers, lengths, ranks in blocks(s):
+                    ids = memoryview(by_rank[ranks]).cast("B")
+                    ends = np.cumsum(lengths)
+                    parts = [ids[4 * a : 4 * b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+                    columns = {"doc_id": pa.array(numbers, mask=numbers == NULL_ID), "start": pa.array(start + ends - lengths), "n_tokens": pa.array(lengths)}
+                    if with_ids:
+                        columns["ids"] = pa.array(parts, pa.binary())
+                    yield pa.RecordBatch.from_pydict(columns | {"ids_crc32": pa.array([zlib.crc32(x) for x in parts], pa.int64())})
+                    start += int(lengths.sum())
+
+    return by_file(files).mapInArrow(run, f"doc_id long, start long, n_tokens long, {'ids binary, ' * with_ids}ids_crc32 long")

@@ -230,6 +230,16 @@ def test_token_files(docs, empty):
     assert tokenfiles.read(tokenfiles.write(empty, tokenizer_path())).count() == 0
 
 
+def test_token_files_without_ids(spark):
+    df = spark.createDataFrame([(3, "one two"), (None, "three"), (1, None), (2, "four, " * 3000)], "doc_id long, text string")
+    manifest = tokenfiles.write(df, tokenizer_path())
+    whole = tokenfiles.read(manifest)
+    want = [tuple(r) for r in whole.drop("ids").orderBy("start").collect()]
+    assert [r[0] for r in want] == [None, 1, 2, 3]
+    assert [tuple(r) for r in tokenfiles.read(manifest, with_ids=False).orderBy("start").collect()] == want
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.n_tokens for r in whole.collect())
+
+
 def test_packing(docs, empty):
     got = packing.pack(docs, tokenizer_path(), packing.Limits(256, 3, 200)).toPandas()
     for i, t in enumerate(TEXTS):
