@@ -2,9 +2,10 @@
 
 That is so where its file has the normaliser and the splitter given here, and no added token with white space; the whole
 texts go through any other tokenizer. Such a tokenizer's ids of a text are the ids of its words, one after the other, so each distinct word of a task is
-encoded by the library once (or again, if it left the bounded store of words). A word of Latin letters and then
-punctuation has the ids of the two, as the tokenizer parts them too. Its letters need neither normalising nor parting:
-in small letters and as byte symbols they go to the library's model at once. All other words go through the whole tokenizer.
+encoded by the library once (or again, if it left the bounded store of words). Texts are first parted
+at ASCII punctuation after an ASCII letter or digit, and ASCII is put in small letters, as the tokenizer does both, too: words that
+differ in these only are one. Other words of Latin letters and then punctuation have the ids of the two. Such letters need neither
+normalising nor parting: in small letters and as byte symbols they go to the library's model at once. All else goes through the whole tokenizer.
 """
 
 from __future__ import annotations
