@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklex.llm.bytewords import Chunk, chunks, mix, random64, words
-from sparklex.llm.scratch import written
+from sparklex.llm.scratch import dropped, written
 
 #: Most words whose counts tasks get; words with classes; classes (the first is of all other words); words before them that they are classed by.
 FREQUENT, CLASSED, CLASSES, CONTEXTS = 1 << 18, 4032, 64, 128
@@ -32,6 +32,8 @@ FREQUENT, CLASSED, CLASSES, CONTEXTS = 1 << 18, 4032, 64, 128
 LEAST_BITS, MOST_BITS, WORDS_A_ROW = 13, 17, 128
 #: Kinds of features, tokens of a batch, step size (a pass's share), passes, blocks that weights travel in, input partitions of a training task.
 KINDS, BATCH, STEP, PASSES, BLOCKS, PARTS = 3, 1 << 12, 0.5, 2, 64, 8
+#: Tokens taken from a table of tokens at once.
+PIECE = 20 * BATCH
 #: Added to each count, also that of one word for all that weren't seen.
 ADDED = 0.1
 END, BEGIN = random64(2, 11)
@@ -75,6 +77,36 @@ def tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def tokenised(docs: DataFrame) -> DataFrame:
+    """docs with the tokens of each text, 8 bytes each, in place of the text: four later passes over all words read these."""
+    names = [n for n in docs.columns if n != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches):
+            t, first = tokens(c)
+            blobs = pa.Array.from_buffers(pa.large_binary(), len(c), [None, pa.py_buffer(8 * first.astype(np.int64)), pa.py_buffer(t)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*(c.rows.column(n) for n in names), blobs], [*names, "tokens"])
+
+    fields = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
+    return docs.mapInArrow(run, f"{fields}, tokens binary")
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some rows at a time, their tokens and where each row's begin; of batches with texts, or as tokenised() gives them."""
+    for batch in batches:
+        if "tokens" not in batch.schema.names:
+            yield from ((c.rows, *tokens(c)) for c in chunks(iter([batch])))
+            continue
+        column = batch.column("tokens").cast(pa.large_binary())
+        _, offsets, values = column.buffers()
+        ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] // 8
+        i = 0
+        while i < len(column):
+            j = min(len(column), max(i + 1, int(np.searchsorted(ends, ends[i] + PIECE, "right")) - 1))
+            yield batch.slice(i, j - i), np.frombuffer(values, np.uint64, int(ends[j] - ends[i]), 8 * int(ends[i])), ends[i : j + 1] - ends[i]
+            i = j
+
+
 def before(t: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
     """The token k places before each one; BEGIN before a text's first."""
     out = np.full(len(t), BEGIN, np.uint64)
@@ -93,6 +125,26 @@ def find(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(table[at] == h, at, -1)
 
 
+class Lookup:
+    """find() in one table, again and again: hashes are spread evenly, so that their first bits tell the place but for a few steps."""
+
+    def __init__(self, table: np.ndarray):
+        bits = len(table).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.table, self.n = np.append(table, np.uint64(2**64 - 1)), len(table)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        at = self.start[h >> self.shift]
+        here = self.table[at]
+        low = np.flatnonzero(here < h)
+        while len(low):
+            at[low] += 1
+            here[low] = self.table[at[low]]
+            low = low[here[low] < h[low]]
+        return np.where((here == h) & (at < self.n), at, -1)
+
+
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     number = F.col(id_col).cast("long")
     return docs.select(number.alias("doc_id"), (F.crc32(F.coalesce(number.cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held_out"), F.col(text_col).alias("text"))
@@ -117,8 +169,8 @@ def count_words(train: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["word", "n"])
 
         size = 0
-        for c in chunks(batches):
-            held.append(np.unique(tokens(c)[0], return_counts=True))
+        for _, t, _ in pieces(batches):
+            held.append(np.unique(t, return_counts=True))
             size += len(held[-1][0])
             if size > 1 << 20:
                 held[:] = [merged()]
@@ -152,11 +204,11 @@ def classed(train: DataFrame, counts: Counts, seed: int = 7) -> tuple[np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         total = np.zeros(len(own) * len(leads), np.int64)
-        for c in chunks(batches):
-            t, first = tokens(c)
-            lead = find(leads, before(t, first, 1))
+        in_own, in_leads = Lookup(own), Lookup(leads)
+        for _, t, first in pieces(batches):
+            lead = in_leads(before(t, first, 1))
             some = lead >= 0
-            w = find(own, t[some])
+            w = in_own(t[some])
             cell = (w * len(leads) + lead[some])[w >= 0]
             total += np.bincount(cell, minlength=len(total))
         at = np.flatnonzero(total)
@@ -194,11 +246,11 @@ def _grouped(x: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray
 
 
 def features(t: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashes of each token's features."""
+    """Hashes of the tokens' features, a row for each kind."""
     one, two = before(t, first, 1), before(t, first, 2)
-    out = np.empty((len(t), KINDS), np.uint64)
+    out = np.empty((KINDS, len(t)), np.uint64)
     for k, x in enumerate((one ^ np.uint64(1), two ^ np.uint64(2), mix(two ^ np.uint64(3)) + one)):
-        out[:, k] = mix(x)
+        out[k] = mix(x)
     return out
 
 
@@ -209,29 +261,28 @@ def outer_rows(h: np.ndarray, bits: int) -> np.ndarray:
 
 def inner_rows(h: np.ndarray, classes: np.ndarray, bits: int) -> np.ndarray:
     """The rows of the words' weights, for these classes."""
-    return (mix(h + classes.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    return (mix(h + classes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def raised(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits, their exponentials and the sums of these. bias: one for all, or a row for each."""
-    logits = weights.take(rows[:, 0], axis=0)
+def raised(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, logits: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Writes logits and their exponentials; returns the sums of these. bias: one for all, or a row for each."""
+    weights.take(rows[0], axis=0, out=logits, mode="clip")  # rows are there; other modes would copy once more
     logits += bias
-    for k in range(1, rows.shape[1]):
-        logits += weights.take(rows[:, k], axis=0)
+    for row in rows[1:]:
+        logits += weights.take(row, axis=0, out=e, mode="clip")
     ones = np.ones(logits.shape[1], np.float32)
     with np.errstate(over="ignore"):
-        e = np.exp(logits)
-        total = e @ ones
+        total = np.exp(logits, out=e) @ ones
     if not (total.min() > 1e-30 and total.max() < 1e30):  # too small or large to be taken as they are
         logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e @ ones
-    return logits, e, total
+        total = np.exp(logits, out=e) @ ones
+    return total
 
 
 def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, gold: np.ndarray) -> np.ndarray:
-    """Of each row of features its gold column."""
-    logits, _, total = raised(weights, bias, rows)
+    """Of each column of rows, a token's, its gold class or word."""
+    logits, e = np.empty((2, len(gold), weights.shape[1]), np.float32)
+    total = raised(weights, bias, rows, logits, e)
     return logits[np.arange(len(gold)), gold] - np.log(total)
 
 
@@ -269,21 +320,27 @@ class Trainer:
         self.w, self.step = weights.copy(), step
         self.used = np.zeros(len(weights), np.float32)
         self.squares = np.full(len(weights), 1e-2, np.float32)
+        self.whole = self.w.view(np.dtype((np.void, self.w.itemsize * self.w.shape[1]))).ravel()  # rows as single values: put faster
+        self.logits, self.g = np.empty((2, BATCH, self.w.shape[1]), np.float32)
 
     def learn(self, bias: np.ndarray, rows: np.ndarray, gold: np.ndarray) -> None:
-        _, g, total = raised(self.w, bias, rows)
-        g /= total[:, None]
-        g[np.arange(len(gold)), gold] -= 1
-        key = np.sort(rows.ravel() << 20 | np.arange(rows.size))
-        of, token = key >> 20, (key & (1 << 20) - 1) // KINDS
+        n, width = len(gold), self.w.shape[1]
+        g = self.g[:n]
+        g *= (1 / raised(self.w, bias, rows, self.logits[:n], g))[:, None]
+        g.reshape(-1)[np.arange(n) * width + gold] -= 1
+        key = np.sort(((rows << 20) + np.arange(n)).ravel())
+        of, token = key >> 20, key & (1 << 20) - 1
         edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
         size = np.diff(np.append(edge, len(of)))
         for groups, sums in group_sums(g, token, edge, size):
-            row, n = of[edge[groups]], size[groups].astype(np.float32)
-            self.squares[row] += np.einsum("ij,ij->i", sums, sums) / (n * sums.shape[1])
-            sums *= (self.step / np.sqrt(n * self.squares[row]))[:, None]
-            self.w[row] = self.w.take(row, axis=0) - sums
-            self.used[row] += n
+            row, times = of[edge[groups]], size[groups].astype(np.float32)
+            squares = self.squares[row] + np.vecdot(sums, sums) / (times * width)
+            self.squares[row] = squares
+            sums *= (self.step / np.sqrt(times * squares))[:, None]
+            new = self.w.take(row, axis=0)
+            new -= sums
+            self.whole[row] = new.view(self.whole.dtype).ravel()
+            self.used[row] += times
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
         each = len(self.w) // BLOCKS
@@ -307,17 +364,17 @@ def trained(train: DataFrame, m: Model, passes: int = PASSES) -> None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = start.value
             outer, inner = Trainer(model.weights, step), Trainer(model.inner, step)
-            for c in chunks(batches):
-                t, first = tokens(c)
-                at = find(model.words, t)
+            classed = Lookup(model.words)
+            for _, t, first in pieces(batches):
+                at = classed(t)
                 gold = model.classes(at)
                 h = features(t, first)
                 for i in range(0, len(t), BATCH):
-                    outer.learn(model.bias, outer_rows(h[i : i + BATCH], model.bits), gold[i : i + BATCH])
+                    outer.learn(model.bias, outer_rows(h[:, i : i + BATCH], model.bits), gold[i : i + BATCH])
                 some = np.flatnonzero(gold)
                 for i in range(0, len(some), BATCH):
                     k = some[i : i + BATCH]
-                    inner.learn(model.inner_bias[gold[k]], inner_rows(h[k], gold[k], model.bits), model.place[at[k]])
+                    inner.learn(model.inner_bias.take(gold[k], axis=0), inner_rows(h[:, k], gold[k], model.bits), model.place[at[k]])
             for which, x in enumerate((outer, inner)):
                 for b, blob in x.blocks():
                     yield pa.RecordBatch.from_arrays([pa.array([which * BLOCKS + b], pa.int32()), pa.array([blob], pa.binary())], ["block", "sums"])
@@ -363,19 +420,19 @@ def fit(train: DataFrame, counts: Counts) -> Model:
     return model
 
 
-def log_probability(m: Model, t: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log10 of each token's probability; of a word without class, only the part that its class has."""
-    at = find(m.words, t)
+def log_probability(m: Model, t: np.ndarray, first: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """log10 of each token's probability; of a word without class, only the part that its class has. at: of classed words, where known."""
+    at = find(m.words, t) if at is None else at
     classes = m.classes(at)
     h = features(t, first)
     out = np.empty(len(t))
     for i in range(0, len(t), BATCH):
         part = classes[i : i + BATCH]
-        out[i : i + BATCH] = log_softmax(m.weights, m.bias, outer_rows(h[i : i + BATCH], m.bits), part)
+        out[i : i + BATCH] = log_softmax(m.weights, m.bias, outer_rows(h[:, i : i + BATCH], m.bits), part)
     some = np.flatnonzero(classes)
     for i in range(0, len(some), BATCH):
         k = some[i : i + BATCH]
-        out[k] += log_softmax(m.inner, m.inner_bias[classes[k]], inner_rows(h[k], classes[k], m.bits), m.place[at[k]])
+        out[k] += log_softmax(m.inner, m.inner_bias.take(classes[k], axis=0), inner_rows(h[:, k], classes[k], m.bits), m.place[at[k]])
     return out / np.log(10)
 
 
@@ -388,8 +445,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     probability, by the same smoothing within classes. Without training rows, all words are unseen.
     """
     spark = docs.sparkSession
-    rows = _prepared(docs, id_col, text_col)
-    train = rows.where("NOT held_out").select("text")
+    rows = written(tokenised(_prepared(docs, id_col, text_col)), "tokens")
+    train = rows.where("NOT held_out").select("tokens")
     table = written(count_words(train), "word-counts")
     counts = frequent(table)
     model = spark.sparkContext.broadcast(fit(train, counts))  # of bounded size: FREQUENT, CLASSED, MOST_BITS
@@ -398,27 +455,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         log_count = np.log10(m.counts.counts + ADDED)
-        for c in chunks(batches):
-            t, first = tokens(c)
-            logp = log_probability(m, t, first)
-            at = find(m.counts.hashes, t)
+        classed, frequent_ones = Lookup(m.words), Lookup(m.counts.hashes)
+        for some, t, first in pieces(batches):
+            own = classed(t)
+            logp = log_probability(m, t, first, own)
+            at = frequent_ones(t)
             count = np.where(at >= 0, log_count[at] if len(log_count) else 0, 0)
-            logp += np.where(find(m.words, t) >= 0, 0, count - m.log_rest)
-            text = np.repeat(np.arange(len(c)), np.diff(first))
+            logp += np.where(own >= 0, 0, count - m.log_rest)
+            text = np.repeat(np.arange(len(some)), np.diff(first))
             rare = np.flatnonzero(at < 0)
             order = np.lexsort((t[rare], text[rare]))
             h, of = t[rare][order], text[rare][order]
             edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])))) if len(h) else np.zeros(0, np.int64)
             times = np.diff(np.append(edge, len(h)))
-            offsets = np.searchsorted(of[edge], np.arange(len(c) + 1)).astype(np.int32)
+            offsets = np.searchsorted(of[edge], np.arange(len(some) + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(h[edge].view(np.int64)), pa.array(times.astype(np.int64))], ["word", "times"]))
             n = np.diff(first)
             known = np.add.reduceat((at >= 0).astype(np.int64), first[:-1])
             base = np.add.reduceat(count, first[:-1]) - n * log_all
-            yield pa.RecordBatch.from_arrays([c.rows.column("doc_id"), c.rows.column("held_out"), pa.array(n), pa.array(known), pa.array(base), pa.array(np.add.reduceat(logp, first[:-1])), lists], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("held_out"), pa.array(n), pa.array(known), pa.array(base), pa.array(np.add.reduceat(logp, first[:-1])), lists], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:bigint,times:bigint>>"
     partly = written(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "partly-scored")
+    dropped(rows)
     rare = partly.select("row", F.inline("rare")).join(table, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + ADDED)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
     more = F.coalesce("more", F.lit(0.0))
     return partly.join(rare, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(counts.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))

@@ -359,6 +359,36 @@ def test_group_sums():
         assert sorted(seen) == list(range(len(sizes)))
 
 
+def test_tokens_once(spark, docs, monkeypatch):
+    """Texts are parted into words once: all later passes get tokens, and the same ones."""
+    import pyarrow as pa
+
+    seen = []
+    fit = scoring.fit
+    monkeypatch.setattr(scoring, "fit", lambda train, counts: seen.append(train.columns) or fit(train, counts))
+    assert scoring.score(docs).count() == len(TEXTS) and seen == [["tokens"]]
+    monkeypatch.setattr(scoring, "PIECE", 5)
+    texts = [*TEXTS, None, "", " \t", "A a\u00e4 " * 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    want = [scoring.tokens(c)[0].tolist() for i in range(len(texts)) for c in bytewords.chunks(iter([batch.slice(i, 1)]))]
+    written = scoring.tokenised(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)).orderBy("id").toArrow().combine_chunks().to_batches()[0]
+    for some, k in ((written, 0), (written.slice(2, 3), 2), (written.slice(0, 0), 0), (batch, 0)):
+        got = []
+        for rows, t, first in scoring.pieces(iter([some])):
+            assert len(first) == len(rows) + 1 and first[-1] == len(t)
+            got += [t[i:j].tolist() for i, j in zip(first, first[1:], strict=False)]
+        assert got == want[k : k + len(some)]
+
+
+def test_lookup():
+    """Places in a table as find() gives them, also where hashes crowd, are the greatest, or there are none."""
+    rng = np.random.default_rng(1)
+    most = np.uint64(2**64 - 1)
+    for table in (np.zeros(0, np.uint64), np.array([most]), np.arange(40, dtype=np.uint64), np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))):
+        h = np.concatenate((table, table + np.uint64(1), rng.integers(0, 2**64, 100, dtype=np.uint64), np.array([0, most], np.uint64)))
+        assert scoring.Lookup(table)(h).tolist() == scoring.find(table, h).tolist()
+
+
 def test_scoring_learns(spark):
     """The model beats the base on held-out texts, whatever the partitions."""
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
