@@ -8,8 +8,8 @@ part of the training documents in sparse batches of gradient updates (AdaGrad by
 averaged, each row of them by how often the task used it, and the next pass starts from there. The number of hashed rows grows with
 the distinct words, up to a bound that is a worker's memory.
 
-Counts of all training words are kept as a table. Words with the highest counts, as many as a bound allows, are sent to the
-tasks; the others meet their counts in a join, so that every word's count is exact whatever the vocabulary's size.
+Texts are parted into words once; their tokens are written as a table. Counts of all training words are kept as a table. Words
+with the highest counts, as many as a bound allows, are sent to the tasks; the others meet their counts in a join, so that every word's count is exact whatever the vocabulary's size.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ FREQUENT, CLASSED, CLASSES, CONTEXTS = 1 << 18, 4032, 64, 128
 LEAST_BITS, MOST_BITS, WORDS_A_ROW = 13, 17, 128
 #: Kinds of features, tokens of a batch, step size (a pass's share), passes, blocks that weights travel in, input partitions of a training task.
 KINDS, BATCH, STEP, PASSES, BLOCKS, PARTS = 3, 1 << 12, 0.5, 2, 64, 8
-#: Tokens taken from a table of tokens at once.
-PIECE = 20 * BATCH
+#: Tokens taken from a table of tokens at once; bytes of its row groups, so small that the tasks of a training pass get about equal parts.
+PIECE, GROUP = 20 * BATCH, 1 << 22
 #: Added to each count, also that of one word for all that weren't seen.
 ADDED = 0.1
 END, BEGIN = random64(2, 11)
@@ -78,7 +78,7 @@ def tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """docs with the tokens of each text, 8 bytes each, in place of the text: four later passes over all words read these."""
+    """docs with the tokens of each text, 8 bytes each, in place of the text: all later passes read these."""
     names = [n for n in docs.columns if n != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,7 +445,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     probability, by the same smoothing within classes. Without training rows, all words are unseen.
     """
     spark = docs.sparkSession
-    rows = written(tokenised(_prepared(docs, id_col, text_col)), "tokens")
+    rows = written(tokenised(_prepared(docs, id_col, text_col)), "tokens", group=GROUP)
     train = rows.where("NOT held_out").select("tokens")
     table = written(count_words(train), "word-counts")
     counts = frequent(table)

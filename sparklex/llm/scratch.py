@@ -38,12 +38,15 @@ def by_file(files: DataFrame) -> DataFrame:
     return files.repartition(max(1, 3 * files.count()), "file")
 
 
-def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: it cuts the lineage and outlives executors. narrow: in fewer() tasks."""
+def written(df: DataFrame, name: str, narrow: bool = False, group: int = 1 << 27) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: it cuts the lineage and outlives executors. narrow: in fewer() tasks.
+
+    group: bytes of a row group, as compressed, which one task reads; a file of one group leaves the tasks of its other splits without rows.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df = fewer(df) if narrow else df
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", group).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

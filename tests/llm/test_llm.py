@@ -380,6 +380,15 @@ def test_tokens_once(spark, docs, monkeypatch):
         assert got == want[k : k + len(some)]
 
 
+def test_row_groups(spark):
+    """A table of tokens has row groups for many tasks, so that no task of a training pass goes without rows."""
+    import pyarrow.parquet as pq
+
+    df = spark.range(12000).select(F.expr("array_join(transform(sequence(1, 40), i -> sha2(cast(40 * id + i AS string), 256)), '')").alias("x")).coalesce(1)
+    (path,) = scratch.written(df, "groups", group=scoring.GROUP).inputFiles()
+    assert pq.ParquetFile(path.removeprefix("file://")).num_row_groups > 1
+
+
 def test_lookup():
     """Places in a table as find() gives them, also where hashes crowd, are the greatest, or there are none."""
     rng = np.random.default_rng(1)
